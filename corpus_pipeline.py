@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import packing, simhash
+from seqloom.llm import packing, pii, quality, simhash
+from seqloom.llm.common import read_table, stage
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, fitted on labels, accepts."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,21 +19,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars follows the new text."""
+    return pii.pseudonymise(docs, found_col=None).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their places in the packed sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("pack", pack)]
+STAGES = [("quality", good_documents), ("near_dedup", near_dedup), ("surrogates", surrogates), ("pack", pack)]
 
-#: Tokenising, packing and fingerprints are not SQL; tests hold run() against brute force.
+#: The classifier, fingerprints, surrogates and packing are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table; each result is written and read again."""
-    from seqloom.llm.common import read_table, stage
-
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")

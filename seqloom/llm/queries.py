@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import packing, simhash
+from seqloom.llm import packing, pii, quality, simhash
 from seqloom.llm.common import read_table
 
 
@@ -18,6 +19,17 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op5_simhash_pivots)}
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its surrogate text, and how many entities of which types were replaced."""
+    found = pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities")), ",").alias("kinds"))
+
+
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its evidence, the shift of its site, the probability that it is good, and the decision."""
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("rid")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op5_simhash_pivots, op6_pii_surrogates, op8_quality_bayes)}
 
 ORACLE_SQL: dict[str, str] = {}
