@@ -26,8 +26,8 @@ from seqloom.llm.common import checked_broadcast, small_batches, stage
 #: Bound on the labelled documents that the classifier is fitted on (smallest hashes of their ids).
 FIT_ROWS = 20_000
 WORD_BUCKETS = 1 << 16
-#: A word tells if it is this many standard deviations above its expected share of bad documents, in this many documents, mostly bad ones.
-TELLING_Z, TELLING_DOCS, TELLING_SHARE = 6.0, 8, 0.85
+#: A word tells if it is this many standard deviations above its expected share of bad documents, in this share of the documents (eight at least), mostly bad ones.
+TELLING_Z, TELLING_SUPPORT, TELLING_SHARE = 6.0, 0.01, 0.85
 
 #: A document goes if it is good with less than this probability; below one half, to keep clean documents.
 REJECT_BELOW = 0.3
@@ -73,8 +73,8 @@ def word_buckets(text: str) -> set[int]:
 class Model:
     """Telling words with their log-odds, and a logistic regression on the features."""
 
-    def __init__(self, words: dict[int, float], mean, spread, weights, prior: float):
-        self.words, self.mean, self.spread, self.weights, self.prior = words, mean, spread, weights, prior
+    def __init__(self, words: dict[int, float], mean, spread, weights):
+        self.words, self.mean, self.spread, self.weights = words, mean, spread, weights
 
     def telling(self, buckets: set[int]) -> float:
         return max((self.words[b] for b in buckets if b in self.words), default=0.0)
@@ -120,23 +120,38 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     n, good = sample.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n or good in (0, n):
         return None
-    share = 1 - good / n
-    once = sample.groupBy("sketch", "good").agg(F.min("buckets").alias("buckets"))  # copies count once, else their words would tell
-    table = once.select("good", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum(1 - F.col("good")).alias("bad"))
-    z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    words = {r["b"]: math.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (1 - share) / share) for r in table.where((F.col("n") >= TELLING_DOCS) & (z > TELLING_Z) & (F.col("bad") >= TELLING_SHARE * F.col("n"))).collect()}  # WORD_BUCKETS at most
-    model = Model(words, None, None, None, 1 - share)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fitted(words: dict[int, float]) -> Model:
+        model = Model(words, None, None, None)
+
+        def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"good": b["good"], "x": [[*s, model.telling(set(k))] for s, k in zip(b["style"], b["buckets"], strict=True)]})
+
+        rows = sample.mapInPandas(features, "good int, x array<double>").toPandas()  # fit_rows at most
+        x, y = np.array(rows["x"].tolist()), rows["good"].to_numpy(float)
+        model.mean, model.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+        z = np.clip((x - model.mean) / model.spread, -8, 8)
+        model.weights = logistic(np.column_stack([np.ones(len(z)), z, z[:, :-1] ** 2]), y)
+        return model
+
+    by_style = fitted({})
+
+    def styled_well(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"good": b["good"], "x": [[*s, model.telling(set(k))] for s, k in zip(b["style"], b["buckets"], strict=True)]})
-
-    rows = sample.mapInPandas(features, "good int, x array<double>").toPandas()  # fit_rows at most
-    x, y = np.array(rows["x"].tolist()), rows["good"].to_numpy(float)
-    model.mean, model.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - model.mean) / model.spread, -8, 8)
-    model.weights = logistic(np.column_stack([np.ones(len(z)), z, z[:, :-1] ** 2]), y)
-    return model
+            x = np.array([[*s, 0.0] for s in b["style"]]).reshape(len(b), len(FEATURES))
+            yield b[["good", "buckets", "sketch"]][by_style.evidence(x) > 0]
+
+    # Words tell among documents that their style does not give away; copies count once.
+    once = stage(sample.mapInPandas(styled_well, "good int, buckets array<int>, sketch string").groupBy("sketch", "good").agg(F.min("buckets").alias("buckets")), "once")
+    n, good = once.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if not n or good in (0, n):
+        return by_style
+    share = 1 - good / n
+    table = once.select("good", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum(1 - F.col("good")).alias("bad"))
+    z = (F.col("bad") - F.col("n") * share) / math.sqrt(share * (1 - share)) / F.sqrt("n")
+    told = table.where((F.col("n") >= max(8, TELLING_SUPPORT * n)) & (z > TELLING_Z) & (F.col("bad") >= TELLING_SHARE * F.col("n"))).collect()  # WORD_BUCKETS at most
+    return fitted({r["b"]: math.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (1 - share) / share) for r in told})
 
 
 def evidence(docs: DataFrame, model: Model | None, extra: list) -> DataFrame:
