@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import packing, pii, quality, simhash
+from seqloom.llm import packing, pii, quality, simhash, urlmodel, warc
 from seqloom.llm.common import read_table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_dedup(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlmodel.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -30,6 +38,6 @@ def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("rid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op5_simhash_pivots, op6_pii_surrogates, op8_quality_bayes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_best_fit_packing, op4_url_markov, op5_simhash_pivots, op6_pii_surrogates, op8_quality_bayes)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": warc.ORACLE, "op4_url_markov": urlmodel.oracle_sql()}
