@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import packing, pii, quality, simhash, urlmodel, warc
+from seqloom.llm import licenses, packing, pii, quality, simhash, urlmodel, warc
 from seqloom.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlmodel.judge(read_table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,6 @@ def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("rid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_best_fit_packing, op4_url_markov, op5_simhash_pivots, op6_pii_surrogates, op8_quality_bayes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_best_fit_packing, op3_license_diagonals, op4_url_markov, op5_simhash_pivots, op6_pii_surrogates, op8_quality_bayes)}
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": warc.ORACLE, "op4_url_markov": urlmodel.oracle_sql()}
