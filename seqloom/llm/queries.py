@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import collide, licenses, packing, pii, quality, simhash, urlmodel, vptree, warc
+from seqloom.llm import collide, licenses, packing, pii, quality, simhash, urlmodel, vptree, warc, wfst
 from seqloom.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities")), ",").alias("kinds"))
 
 
+def op7_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its evidence, the shift of its site, the probability that it is good, and the decision."""
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("rid")
@@ -51,7 +55,7 @@ def op10_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_best_fit_packing, op3_license_diagonals, op4_url_markov, op5_simhash_pivots, op6_pii_surrogates, op8_quality_bayes, op9_collision_counting, op10_vantage_points)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_best_fit_packing, op3_license_diagonals, op4_url_markov, op5_simhash_pivots, op6_pii_surrogates, op7_sentencepiece_wfst, op8_quality_bayes, op9_collision_counting, op10_vantage_points)}
 
 _VECTORS = """SELECT vec_id, row_number() OVER () AS rid, embedding::DOUBLE[] AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
