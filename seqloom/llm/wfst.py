@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -187,12 +188,18 @@ class Transducer:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@cache
+def machine_for(path: str) -> Transducer:
+    """One transducer per Python worker: what it has compiled and the paths it has found stay from task to task."""
+    return Transducer(path)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Callable[[], str] = default_model) -> DataFrame:
     """doc_id and ids (array) of every text. Null and empty texts have no ids; null and repeated ids of documents keep their rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Transducer(model())
+        machine = machine_for(model())
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [machine.encode(t or "").astype(np.int32) for t in b["text"]]})
 
@@ -204,7 +211,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", model: Callable[[], str] = d
     small_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Transducer(model())
+        machine = machine_for(model())
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": [machine.decode([] if x is None else x) for x in b["ids"]]})
 
@@ -220,7 +227,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Transducer(model())
+        machine = machine_for(model())
         for b in batches:
             out = []
             for t in b["text"]:
