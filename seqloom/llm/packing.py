@@ -15,6 +15,7 @@ Ranks need no global sort: the tokenising task numbers its pieces per length, an
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -34,33 +35,57 @@ END_ID = 1
 Run = tuple[tuple[int, ...], int]
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, with a bounded cache of blank-separated chunks.
+class CachedEncoder:
+    """Token ids of whole texts, with a bounded cache of words.
 
-    The tokenizer drops white space and no token, normalisation or pre-token spans a blank, so the ids of a
-    text are those of its chunks in order; a chunk that is not in the cache is encoded by the tokenizer.
+    The tokenizer lower-cases, drops white space and cuts a text into words, which it encodes one by one. For
+    texts of Latin-1 letters and marks the words are cut here; the tokenizer encodes those that are not in the
+    cache, many in one call, and its word ends say which ids belong to which. Other texts are cut at blanks
+    and newlines, which no normalisation or word spans, and those chunks are encoded whole.
     """
 
-    def __init__(self, path: str, cache_chunks: int = 400_000):
+    OTHER = re.compile("[^\t-\r -~\u00a1-\u00ff]")
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\t-\r 0-9a-z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, path: str, cache_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache_chunks = cache_chunks
-        self.known: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.cache_words = cache_words
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
+
+    def _one_by_one(self, items: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+
+    def _learn(self, items: list[str]) -> None:
+        for at in range(0, len(items), 4000):
+            some = items[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                self.words.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
+            else:
+                self.words.update(zip(some, self._one_by_one(some)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*parts)
-        if len(self.known) + len(wanted) > self.cache_chunks:
-            self.known = {k: v for k, v in self.known.items() if k in wanted}
-        new = list(wanted - self.known.keys())
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in p]), "<u4") for p in parts]
+        plain = [not self.OTHER.search(t) for t in texts]
+        parts = [self.WORDS.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain)]
+        wanted = set().union(*[x for x, p in zip(parts, plain) if p])
+        if len(self.words) + len(wanted) > self.cache_words:
+            self.words = {k: v for k, v in self.words.items() if k in wanted}
+        self._learn(list(wanted - self.words.keys()))
+        wanted = set().union(*[x for x, p in zip(parts, plain) if not p])
+        if len(self.chunks) + len(wanted) > self.cache_words // 4:
+            self.chunks = {"": b""}
+        new = list(wanted - self.chunks.keys())
+        self.chunks.update(zip(new, self._one_by_one(new)))
+        return [np.frombuffer(b"".join(map((self.words if p else self.chunks).__getitem__, x)), "<u4") for x, p in zip(parts, plain)]
 
 
 def default_tokenizer() -> str:
@@ -77,7 +102,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seen = ChunkEncoder(tokenizer()), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = CachedEncoder(tokenizer()), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], "<u4")
         for b in batches:
             out = []
