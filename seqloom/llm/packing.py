@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,12 @@ class CachedEncoder:
         return [np.frombuffer(b"".join(map((self.words if p else self.chunks).__getitem__, x)), "<u4") for x, p in zip(parts, plain)]
 
 
+@cache
+def encoder_for(path: str) -> CachedEncoder:
+    """One encoder per Python worker: its words stay known from task to task."""
+    return CachedEncoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -102,7 +109,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seen = CachedEncoder(tokenizer()), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = encoder_for(tokenizer()), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], "<u4")
         for b in batches:
             out = []
