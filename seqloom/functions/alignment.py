@@ -1,6 +1,6 @@
 """Alignments that built-in functions cannot express: plain functions, and Arrow UDFs over them.
 
-Distances run on code points as numpy rows; common prefixes and suffixes are cut off first where that is exact.
+Distances keep a column of their table as the bits of one integer, so a step costs a few operations.
 """
 
 from __future__ import annotations
@@ -13,23 +13,48 @@ from pyspark.sql import functions as F
 
 
 
+def _masks(tokens: Sequence) -> dict:
+    masks: dict = {}
+    for i, t in enumerate(tokens):
+        masks[t] = masks.get(t, 0) | 1 << i
+    return masks
+
+
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Longest common subsequence, a row of the table in one integer."""
+    masks, row = _masks(a), (1 << len(a)) - 1
+    for t in b:
+        hit = row & masks.get(t, 0)
+        row = (row + hit) | (row - hit)
+    return len(a) - (row & ((1 << len(a)) - 1)).bit_count()
+
+
+def _column_scores(pattern: Sequence, tokens: Sequence, free_start: bool):
+    """Edits of the whole pattern against the tokens up to each place (from their start, or from anywhere): differences of
+    neighbouring cells are kept as bits, so a column is a few operations on integers."""
+    n = len(pattern)
+    full, last, masks = (1 << n) - 1, 1 << (n - 1), _masks(pattern)
+    up, down, score = full, 0, n
+    yield score
+    for t in tokens:
+        same = masks.get(t, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | ~(diagonal | up) & full, diagonal & up
+        score += bool(right & last) - bool(left & last)
+        yield score
+        right, left = (right << 1 | (not free_start)) & full, (left << 1) & full
+        up, down = left | ~(diagonal | right) & full, right & diagonal
+
+
 def edit_distance(a: Sequence, b: Sequence, substitution: int = 1) -> int:
-    """Edits between two sequences of any tokens; substitution costs 1 or 2. One row, vectorised over the longer one."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return len(b)
-    names: dict = {}
-    code = lambda s: np.array([names.setdefault(t, len(names)) for t in s], np.int64)
-    x, y = code(a), code(b)
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, t in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + np.where(y == t, 0, substitution))
-        row = np.minimum.accumulate(new - steps) + steps  # insertions: running minimum along the diagonal
-    return int(row[-1])
+    """Edits between two sequences of any tokens; a substitution costs 1 or 2."""
+    if substitution == 2:
+        return len(a) + len(b) - 2 * lcs_length(a, b)
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    for score in _column_scores(a, b, False):
+        pass
+    return score
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -48,15 +73,7 @@ def semi_global_distance(query: str, text: str) -> int:
     """Fewest edits of the query against any part of the text."""
     if not query:
         return 0
-    y = np.array([ord(c) for c in text], np.int64)
-    steps = np.arange(len(y) + 1)
-    row = np.zeros(len(y) + 1, np.int64)
-    for i, c in enumerate(query, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != ord(c)))
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+    return min(_column_scores(query, text, True))
 
 
 def fragment_score(query: str, text: str) -> float:

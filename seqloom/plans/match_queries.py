@@ -89,18 +89,18 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.best_lev(ascii_passages(spark, sf_dir), ascii_corpus(spark, sf_dir), 5)
 
 
-_VARIANTS = "queries AS (SELECT grp * 100 + seq AS qid, CASE WHEN seq % 2 = 0 THEN txt ELSE 'x' || substr(txt, 3) END AS txt FROM corpus)"
+_VARIANTS = "corpus AS (SELECT qid AS grp, 0 AS seq, txt FROM passages), queries AS (SELECT qid, CASE WHEN qid % 2 = 0 THEN txt ELSE 'x' || substr(txt, 9) END AS txt FROM passages)"
 
 
-@query(f"""WITH {ASCII_CORPUS}, {_VARIANTS},
+@query(f"""WITH {ASCII_PASSAGES}, {_VARIANTS},
 e AS (SELECT qid, grp, seq, 'exact' AS how, 1.0::DOUBLE AS score FROM (SELECT qid, c.grp, c.seq, row_number() OVER (PARTITION BY qid ORDER BY c.grp, c.seq) AS k FROM queries q JOIN corpus c ON q.txt = c.txt) WHERE k = 1),
-f AS (SELECT qid, c.grp, c.seq, {_lev('q.txt', 'c.txt')} AS r FROM queries q JOIN corpus c ON abs(length(q.txt) - length(c.txt)) <= 0.3 * (length(q.txt) + length(c.txt)) AND length(q.txt) > 0 AND length(c.txt) > 0 WHERE qid NOT IN (SELECT qid FROM e)),
+f AS (SELECT qid, c.grp, c.seq, {_lev('q.txt', 'c.txt')} AS r FROM queries q JOIN corpus c ON length(q.txt) > 0 AND length(c.txt) > 0 WHERE qid NOT IN (SELECT qid FROM e)),
 b AS (SELECT qid, grp, seq, 'fuzzy' AS how, round(r, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(r, 6) DESC, grp, seq) AS k FROM f WHERE r >= 0.7) WHERE k = 1)
 SELECT * FROM e UNION ALL SELECT * FROM b""")
 def exact_then_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ascii_corpus(spark, sf_dir)
-    changed = F.when(F.col("seq") % 2 == 0, F.col("txt")).otherwise(F.concat(F.lit("x"), F.substring("txt", 3, 1 << 30)))
-    return joins.exact_then_fuzzy(c.select((F.col("grp") * 100 + F.col("seq")).alias("qid"), changed.alias("txt")), c, 0.7)
+    p = ascii_passages(spark, sf_dir)
+    changed = F.when(F.col("qid") % 2 == 0, F.col("txt")).otherwise(F.concat(F.lit("x"), F.substring("txt", 9, 1 << 30)))
+    return joins.exact_then_fuzzy(p.select("qid", changed.alias("txt")), p.select(F.col("qid").alias("grp"), F.lit(0).alias("seq"), "txt"), 0.7)
 
 
 @query(f"""WITH {CORPUS}, {PASSAGES}, pg AS (SELECT qid, unnest({_GRAMS('txt', 3)}) AS gram FROM passages), cg AS (SELECT grp, seq, unnest({_GRAMS('txt', 3)}) AS gram FROM corpus),
