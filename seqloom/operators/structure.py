@@ -76,7 +76,7 @@ def continuation_bonuses(corpus: DataFrame, hints: DataFrame, bonuses=BONUSES) -
     last = h.join(rows, (F.col("hg") == F.col("grp")) & (F.col("hs") + 1 == F.col("seq")), "left_anti").select("qid", "hg")
     same = h.join(last.select("qid"), "qid", "left_anti").join(rows, (F.col("hg") == F.col("grp")) & F.col("seq").between(F.col("hs") + 1, F.col("hs") + len(bonuses)))
     over = last.join(rows, (F.col("hg") + 1 == F.col("grp")) & (F.col("place") < len(bonuses)))
-    return same.select("qid", "grp", "seq", F.element_at(table, (F.col("seq") - F.col("hs")).cast("int")).alias("bonus")).unionByName(over.select("qid", "grp", "seq", F.element_at(table, (F.col("place") + 1).cast("int")).alias("bonus")))
+    return same.select("qid", "grp", "seq", F.get(table, (F.col("seq") - F.col("hs") - 1).cast("int")).alias("bonus")).unionByName(over.select("qid", "grp", "seq", F.get(table, F.col("place").cast("int")).alias("bonus")))
 
 
 def best_run(votes: DataFrame, weight: str = "weight") -> DataFrame:
