@@ -42,7 +42,7 @@ def default_model() -> str:
 
 
 class Transducer:
-    def __init__(self, path: str, cache_segments: int = 400_000):
+    def __init__(self, path: str, cache_segments: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -67,6 +67,7 @@ class Transducer:
         self.stable: dict[str, bool] = {}
         self.cache_segments = cache_segments
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache's last generation; what is used again moves to the new one
         self.fragments: dict[str, list[int]] = {}
         self.cut = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
@@ -87,6 +88,8 @@ class Transducer:
     def _follows(self, a: str, b: str) -> bool:
         known = self.follows.get((a, b))
         if known is None:
+            if len(self.follows) > 2 * self.cache_segments:
+                self.follows.clear()
             known = self.follows[a, b] = self.merged(a + b) == [a, b]
         return known
 
@@ -171,14 +174,15 @@ class Transducer:
         if not text:
             return np.zeros(0, kind)
         segments = self.cut.findall(self.prefix + text.replace(" ", BLANK))
-        known = self.known
-        if len(known) > self.cache_segments:
-            known.clear()
+        if len(self.known) > self.cache_segments:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         out = []
         for s in segments:
             x = known.get(s)
             if x is None:
-                x = known[s] = self._segment(s)
+                x = older.get(s)
+                x = known[s] = self._segment(s) if x is None else x
             out.append(x)
         return np.frombuffer(b"".join(out), kind)
 
