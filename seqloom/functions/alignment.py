@@ -87,7 +87,12 @@ def partial_indel_ratio(a: str, b: str) -> float:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if short in long:
         return 1.0
-    return max(indel_ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    n, best, at = len(short), 0, 0
+    while at <= len(long) - n:
+        found = lcs_length(short, long[at : at + n])
+        best = max(best, found)
+        at += best - found + 1  # a window one further shares one more at most
+    return best / n
 
 
 def fragment_blend(query: str, text: str, full: float) -> float:
