@@ -1,13 +1,12 @@
-"""Helpers that the training-data operators share: table access, shared-folder staging, checked broadcasts."""
+"""Helpers that the training-data operators share: table access, batch sizes, checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.sources.staging import shared_dir, stage, staged_path  # noqa: F401
+
 #: Rows in one Arrow batch of whole texts; with it a batch stays at a few MB for usual documents.
 TEXT_BATCH_ROWS = 400
 
@@ -21,33 +20,6 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-        base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/seqloom/{sc.applicationId}"
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The files go when the application ends.
-    """
-    path = staged_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark a staged table for broadcast if it has at most max_rows rows; else leave it for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
