@@ -120,7 +120,7 @@ def align(predicted: Sequence[str], reference: Sequence[str], insert_first: bool
     cost = np.zeros((n + 1, m + 1), np.int32)
     cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
     steps = np.arange(m + 1)
-    same = np.array([[r == p for p in predicted] for r in reference]).reshape(n, m)
+    same = np.array([[r == p for p in predicted] for r in reference], bool).reshape(n, m)
     for i in range(1, n + 1):
         row = cost[i].copy()
         row[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + ~same[i - 1])
