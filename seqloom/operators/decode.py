@@ -171,3 +171,10 @@ def drop_overlaps(words: DataFrame, key: str, slack: float = 0.15) -> DataFrame:
     """Timed words (key, start, end) that begin no earlier than slack before the latest end so far."""
     before = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     return words.withColumn("_end", before).where(F.col("_end").isNull() | (F.col("start") >= F.col("_end") - slack)).drop("_end")
+
+
+def spread_words(rows: DataFrame, key: str, words: str, seconds: str) -> DataFrame:
+    """key, i, word, start, end: a text's words spread evenly over its seconds."""
+    n = F.size(words)
+    each = rows.select(key, F.col(seconds).alias("_s"), n.alias("_n"), F.posexplode(words).alias("i", "word"))
+    return each.select(key, "i", "word", (F.col("_s") * F.col("i") / F.col("_n")).alias("start"), (F.col("_s") * (F.col("i") + 1) / F.col("_n")).alias("end"))

@@ -47,3 +47,14 @@ def changed_enough(rows: DataFrame, key: str, order: str, value: str, least: flo
 
 def long_windows(lengths: DataFrame, key: str, length: str, size: int = 25, overlap: int = 1) -> DataFrame:
     return chunk_table(lengths, key, length, size, size - overlap, 1, 0)
+
+
+def with_cooldown(alarms: DataFrame, key: str, at: str, least: int) -> DataFrame:
+    """Of each key's alarms in order, those at least `least` after the last one kept."""
+
+    def step(kept: Column, x: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        return F.when(last.isNull() | (x - last >= least), F.concat(kept, F.array(x))).otherwise(kept)
+
+    times = F.array_sort(F.collect_list(F.col(at).cast("long")))
+    return alarms.groupBy(key).agg(F.aggregate(times, F.array().cast("array<bigint>"), step).alias("_t")).select(key, F.explode("_t").alias(at))
