@@ -25,7 +25,8 @@ from seqloom.llm.common import checked_broadcast, small_batches, stage
 
 #: Bound on the labelled documents that the classifier is fitted on (smallest hashes of their ids).
 FIT_ROWS = 20_000
-WORD_BUCKETS = 1 << 16
+#: Words are known by hashes of 24 bits: with fewer, harmless words share the hash of a telling one.
+WORD_BUCKETS = 1 << 24
 #: A word tells if it is this many standard deviations above its expected share of bad documents, in this share of the documents (eight at least), mostly bad ones.
 TELLING_Z, TELLING_SUPPORT, TELLING_SHARE = 6.0, 0.01, 0.85
 
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     share = 1 - good / n
     table = once.select("good", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum(1 - F.col("good")).alias("bad"))
     z = (F.col("bad") - F.col("n") * share) / math.sqrt(share * (1 - share)) / F.sqrt("n")
-    told = table.where((F.col("n") >= max(8, TELLING_SUPPORT * n)) & (z > TELLING_Z) & (F.col("bad") >= TELLING_SHARE * F.col("n"))).collect()  # WORD_BUCKETS at most
+    told = table.where((F.col("n") >= max(8, TELLING_SUPPORT * n)) & (z > TELLING_Z) & (F.col("bad") >= TELLING_SHARE * F.col("n"))).collect()  # few: a telling word is in a share of all documents
     return fitted({r["b"]: math.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (1 - share) / share) for r in told})
 
 
