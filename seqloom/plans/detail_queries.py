@@ -130,3 +130,12 @@ def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     peak = F.max("value").over(Window.partitionBy("user_id").orderBy("event_id"))
     return table(spark, sf_dir, "events").select("user_id", "event_id", peak.alias("peak"), (peak - F.col("value") > 15).alias("dropped"))
+
+
+@query()
+def grapheme_phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages written in vowelled Arabic letters, as phonemes."""
+    from seqloom.functions.phonemes import phonemes_udf
+
+    arabic = F.translate(F.lower("txt"), "abdefhijklmnqrstuwxyzcgopv", "َبدِفهِجكلمنقرستُوخيزكغُبف")
+    return passages(spark, sf_dir).select("qid", phonemes_udf()(arabic).alias("sounds"))

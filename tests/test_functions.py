@@ -154,3 +154,16 @@ def test_trie_and_beams():
         frames[t, k] = math.log(0.97)
     best = decode.beam_search(frames, 3, trie)[0]
     assert best["ids"] == [0, 1] and best["matched"] == ["a", "ab"] and best["complete"]
+
+
+@pytest.mark.parametrize(
+    ("text", "sounds"),
+    [
+        ("بِسْمِ ٱللَّهِ", "b i s m i | a l l a h i"), ("ٱلرَّحْمَـٰنِ ٱلرَّحِيمِ", "a r r a H m aa n i | a r r a H ii m i"), ("قُلْ هُوَ", "q u l | h u w a"), ("نُورٌ", "n uu r u n"), ("كِتَابًا", "k i t aa b a n"),
+        ("رَحْمَةً", "r a H m a t a n"), ("رَحْمَة", "r a H m a h"), ("هُدًى", "h u d a n aa"), ("أَنَا", "< a n aa"), ("إِلَىٰ", "< i l aa"), ("ءَامَنَ", "< aa m a n a"), ("ٱلْحَمْدُ", "a l H a m d u"), ("", ""), ("abc", ""),
+    ],
+)
+def test_phonemes(text, sounds):
+    from seqloom.functions.phonemes import phonemes
+
+    assert phonemes(text) == sounds
