@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_batches, stage
+from seqloom.llm.common import open_id, small_batches, solid_id, stage
 from seqloom.llm.components import components
 from seqloom.llm.simhash import deal_cells, join_pairs, roots, whole_groups
 from seqloom.llm.vectors import usable
@@ -108,14 +108,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, miss: float = 1e-5,
     name no component that has another id, and are not kept. An empty table gives no rows; other
     columns are ignored.
     """
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), usable(F.col(vector_col)).alias("ok"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), solid_id(F.col(id_col)).alias("vec_id"), usable(F.col(vector_col)).alias("ok"), F.col(vector_col).alias("v"))
     small_batches(vectors.sparkSession, 2000)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"rid": b["rid"], "vec_id": b["vec_id"].astype("Int64"), "vector": [np.asarray(v, "<f8").tobytes() if ok else None for v, ok in zip(b["v"], b["ok"])]})
+            yield pd.DataFrame({"rid": b["rid"], "vec_id": b["vec_id"], "vector": [np.asarray(v, "<f8").tobytes() if ok else None for v, ok in zip(b["v"], b["ok"])]})
 
-    rows = stage(rows.mapInPandas(packed, "rid long, vec_id long, vector binary"), "vectors")
+    rows = stage(rows.mapInPandas(packed, "rid long, vec_id long, vector binary").withColumn("vec_id", open_id(F.col("vec_id"))), "vectors")
     classes = stage(rows.where("vector is not null").groupBy("vector").agg(F.min("rid").alias("rid"), F.count("*").alias("n"), F.min("vec_id").alias("least_id")), "classes")
     sizes = classes.groupBy((F.octet_length("vector") / 8).cast("int").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()
     found = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.sources.staging import shared_dir, stage, staged_path  # noqa: F401
@@ -20,6 +20,20 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Stands for a null id inside Python, where a column with nulls would become floating point and round large ids.
+NO_ID = -(1 << 63)
+
+
+def solid_id(column: Column) -> Column:
+    """An id as a long without nulls."""
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
+def open_id(column: Column) -> Column:
+    """A solid id with its nulls again."""
+    return F.nullif(column, F.lit(NO_ID))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark a staged table for broadcast if it has at most max_rows rows; else leave it for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import lower_ascii, small_batches
+from seqloom.llm.common import lower_ascii, open_id, small_batches, solid_id
 
 K = 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     grams = F.broadcast(grams.select("template", "at", "size", F.xxhash64("w1", "w2").alias("hash"), F.col("w1").alias("t1"), F.col("w2").alias("t2")))
 
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), 0)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), solid_id(F.col(id_col)).alias("doc_id"), words.alias("words"))
     places = rows.select("rid", "doc_id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("i", "w1"))
     places = places.withColumn("w2", F.get("words", F.col("i") + 1)).withColumn("h", F.when(F.col("w2").isNotNull(), F.xxhash64("w1", "w2")))
     hits = places.join(grams, (places["h"] == grams["hash"]) & (places["w1"] == grams["t1"]) & (places["w2"] == grams["t2"]), "left").where("template is not null or i is null or i = 0")
@@ -161,8 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                 out.append((n, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score))
             got = pd.DataFrame(out, columns=["n_base", "first_word", "last_word", "base_labels", "labels", "score"])
             got["first_word"], got["last_word"] = got["first_word"].astype("Int64"), got["last_word"].astype("Int64")
-            yield pd.concat([b[["doc_id", "n_words"]].astype("Int64"), got], axis=1)
-
-    return gathered.mapInPandas(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
-
+            yield pd.concat([b[["doc_id", "n_words"]], got], axis=1)
 
+    found = gathered.mapInPandas(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return found.withColumn("doc_id", open_id(F.col("doc_id")))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_batches, stage
+from seqloom.llm.common import open_id, small_batches, solid_id, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -102,7 +102,7 @@ def default_tokenizer() -> str:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[], str] = default_tokenizer, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece, with part (its task) and nth (its number among the task's pieces of its length)."""
+    """doc_id (solid), piece, start, length, ids_crc32 of every piece, with part (its task) and nth (its number among the task's pieces of its length)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,10 +119,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     own = ids[start : start + capacity]
                     out.append((doc, piece, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)]))
                     seen[len(own)] += 1
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-            yield got.assign(doc_id=got["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(solid_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
@@ -336,6 +335,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 at = np.searchsorted(table[:, 0], ranks[own], "right") - 1
                 sequence[own] = table[at, 1] + ranks[own] - table[at, 0]
                 offset[own] = table[at, 2]
-            yield b.drop(columns="rank").assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)
+            yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    return ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", open_id(F.col("doc_id")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checked_broadcast, small_batches, stage
+from seqloom.llm.common import checked_broadcast, open_id, small_batches, solid_id, stage
 from seqloom.llm.components import components
 
 BANDS = 4
@@ -64,10 +64,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"].astype("Int64"), "fp": pd.Series([_signed(fingerprint(t)) for t in b["text"]], dtype="int64")})
+            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "fp": pd.Series([_signed(fingerprint(t)) for t in b["text"]], dtype="int64")})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "rid long, doc_id long, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), solid_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "rid long, doc_id long, fp long").withColumn("doc_id", open_id(F.col("doc_id")))
 
 
 def with_pivot_table(fps: DataFrame, count: int = PIVOTS) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_batches
+from seqloom.llm.common import open_id, small_batches, solid_id
 
 BLANK = "▁"
 INFINITE = float("inf")
@@ -205,9 +205,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = machine_for(model())
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [machine.encode(t or "").astype(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [machine.encode(t or "").astype(np.int32) for t in b["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(solid_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>").withColumn("doc_id", open_id(F.col("doc_id")))
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", model: Callable[[], str] = default_model) -> DataFrame:
@@ -217,9 +217,9 @@ def decode(tokens: DataFrame, ids_col: str = "ids", model: Callable[[], str] = d
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = machine_for(model())
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": [machine.decode([] if x is None else x) for x in b["ids"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [machine.decode([] if x is None else x) for x in b["ids"]]})
 
-    return tokens.select("doc_id", F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string")
+    return tokens.select(solid_id(F.col("doc_id")).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string").withColumn("doc_id", open_id(F.col("doc_id")))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Callable[[], str] = default_model) -> DataFrame:
@@ -238,6 +238,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 ids = machine.encode(t or "")
                 out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), machine.decode(ids) == (t or "")))
             got = pd.DataFrame(out, columns=["n_tokens", "ids_crc32", "round_trip"])
-            yield pd.concat([b["doc_id"].astype("Int64"), got], axis=1)
+            yield pd.concat([b["doc_id"], got], axis=1)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.select(solid_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean").withColumn("doc_id", open_id(F.col("doc_id")))

@@ -72,7 +72,7 @@ def near_copies():
         for _ in range(i % 4):
             own[rng.randrange(300)] = word()
         rows.append((1000 - i, " ".join(own), None, None))
-    rows += [(i, " ".join(word() for _ in range(30)), None, None) for i in range(40)] + [(None, rows[0][1], None, None), (2007, None, None, None), (2008, "", None, None), (2009, " ", None, None), (2009, " ", None, None)]
+    rows += [(i, " ".join(word() for _ in range(30)), None, None) for i in range(40)] + [(None, rows[0][1], None, None), ((1 << 62) + 1, "alone", None, None), (2007, None, None, None), (2008, "", None, None), (2009, " ", None, None), (2009, " ", None, None)]
     return rows
 
 
@@ -110,7 +110,7 @@ def vectors():
     rows = [b + s * rng.standard_normal(16) for b in base for s in (0.0, 0.02, 0.05, 0.09, 0.12)] + list(rng.standard_normal((40, 16))) + [base[0]] * 3 + [2 * base[1]]
     out = [(int(i * 7 % 113), [float(x) for x in v], 0, 0) for i, v in enumerate(rows)]
     nan, inf = float("nan"), float("inf")
-    return out + [(200, None, 0, 0), (201, [], 0, 0), (202, [0.0] * 16, 0, 0), (203, [nan] + [1.0] * 15, 0, 0), (204, [inf] + [1.0] * 15, 0, 0), (205, [None] + [1.0] * 15, 0, 0), (206, [1.0, 2.0], 0, 0), (206, [2.0, 4.0], 0, 0), (None, out[0][1], 0, 0)]
+    return out + [(200, None, 0, 0), (201, [], 0, 0), (202, [0.0] * 16, 0, 0), (203, [nan] + [1.0] * 15, 0, 0), (204, [inf] + [1.0] * 15, 0, 0), (205, [None] + [1.0] * 15, 0, 0), (206, [1.0, 2.0], 0, 0), (206, [2.0, 4.0], 0, 0), (None, out[0][1], 0, 0), ((1 << 62) + 1, [0.5] * 16, 0, 0)]
 
 
 def usable(v):

@@ -95,7 +95,7 @@ def check(rows, docs, capacity):
 
 
 def test_documents_are_cut_and_laid_out(frame):
-    docs = [(1, "the quick brown fox " * 40, 0, ""), (2, None, 0, ""), (2, "", 0, ""), (None, "fox", 0, ""), (3, "jumps " * 25, 0, ""), (3, "jumps " * 25, 0, ""), (4, "über " * 7, 0, None)]
+    docs = [(1, "the quick brown fox " * 40, 0, ""), (2, None, 0, ""), (2, "", 0, ""), (None, "fox", 0, ""), ((1 << 62) + 1, "fox", 0, ""), (3, "jumps " * 25, 0, ""), (3, "jumps " * 25, 0, ""), (4, "über " * 7, 0, None)]
     rows = packing.pack(frame(docs, DOCS).repartition(3), capacity=16).collect()
     n = check(rows, docs, 16)
     assert n <= -(-sum(r["length"] for r in rows) // 16) + 1

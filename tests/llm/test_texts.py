@@ -29,7 +29,7 @@ def test_licences_by_brute_force(frame, spark, sf_dir):
     rng = random.Random(4)
     pool = ["mit", "MIT", "license", "LICENSE,", "apache", "general", "public", "x", "é", "²", "a_b", "gnu", "\n"]
     docs = [(i % 90, rng.choice(["", " "]).join(rng.choice(pool) + rng.choice([" ", "-", "\t"]) for _ in range(rng.randint(0, 40))), "", "") for i in range(150)]
-    docs += [(None, "MIT license", "", ""), (200, None, "", ""), (201, "", "", ""), (202, "word " * 30_000 + "mit license", "", None)]
+    docs += [(None, "MIT license", "", ""), ((1 << 62) + 1, "mit license", "", ""), (200, None, "", ""), (201, "", "", ""), (202, "word " * 30_000 + "mit license", "", None)]
     docs += [(r["doc_id"], r["text"], "", "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = licenses.scan(frame(docs, DOCS)).collect()
     want = Counter((d[0], *base_of(d[1])) for d in docs)
@@ -115,11 +115,11 @@ def test_unigram_weights():
 
 
 def test_encode_decode_tables(frame):
-    docs = [(1, "Hello  world\n", "", ""), (None, "日本", "", ""), (2, None, "", ""), (2, "", "", "")]
+    docs = [(1, "Hello  world\n", "", ""), (None, "日本", "", ""), ((1 << 62) + 1, "z", "", ""), (2, None, "", ""), (2, "", "", "")]
     tokens = wfst.encode(frame(docs, DOCS))
     assert sorted((r["text"] for r in wfst.decode(tokens).collect())) == sorted(d[1] or "" for d in docs)
     got = wfst.digests(frame(docs, DOCS)).collect()
-    assert all(r["round_trip"] for r in got) and len(got) == 4
+    assert all(r["round_trip"] for r in got) and len(got) == 5 and (1 << 62) + 1 in {r["doc_id"] for r in got}
     assert wfst.digests(frame([], DOCS)).count() == 0
 
 
