@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _runs(items: Column, n: int, glue: str) -> Column:
+    """All runs of n items, joined. Arrays are zipped with themselves, shifted: each is made once a row, where an
+    expression in a lambda would be made again for every element, and cutting a string walks it from its start."""
+    out = items
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(items, F.lit(k), F.greatest(F.size(items), F.lit(1))), lambda a, b: F.concat(a, F.lit(glue), b))
+    return F.filter(out, lambda x: x.isNotNull())
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct n-grams of characters; none in a text shorter than n."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= n, F.array_distinct(_runs(F.split(text, ""), n, ""))).otherwise(F.array().cast("array<string>"))
 
 
 def token_ngrams(tokens: Column, n: int) -> Column:
     """All n-grams of tokens, repeats included, joined by blanks."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(tokens) >= n, _runs(tokens, n, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def shared(a: Column, b: Column) -> Column:
