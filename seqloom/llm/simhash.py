@@ -203,8 +203,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows are matched by their place in the scan of docs, so docs must be a stored table.
     """
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("rid")).alias("place")
-    found = near_duplicates(docs, id_col, text_col).select("rid", "component", place)
-    first = found.groupBy("component").agg(F.min("place").alias("first"))
+    found = stage(near_duplicates(docs, id_col, text_col).select("rid", "component", place), "found")
+    first = stage(found.groupBy("component").agg(F.min("place").alias("first")), "first")  # apart, so that skew handling can split the join
     drop = stage(found.join(first, "component").where("place <> first").select("rid"), "dropped")
     rows = docs.withColumn("_seqloom_rid", F.monotonically_increasing_id())
     return rows.join(drop.hint("shuffle_hash"), rows["_seqloom_rid"] == drop["rid"], "left_anti").drop("_seqloom_rid")
