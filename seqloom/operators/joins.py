@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,12 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if a few small files hold it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the last in order."""
     return best_per(rows, [key], [F.desc(order)])
@@ -66,18 +76,75 @@ def exact_then_fuzzy(queries: DataFrame, corpus: DataFrame, least: float) -> Dat
     return exact.select("qid", "grp", "seq", F.lit("exact").alias("how"), F.lit(1.0).alias("score")).unionByName(fuzzy.select("qid", "grp", "seq", F.lit("fuzzy").alias("how"), F.round("score", 6).alias("score")))
 
 
+#: Queries, and cells of their gram table, that block scoring holds in memory; beyond them the joins score.
+BLOCK_QUERIES, BLOCK_CELLS = 2_000, 8_000_000
+
+
 def gram_candidates(queries: DataFrame, corpus: DataFrame, key: list[str], most: int = 50, n: int = 3) -> DataFrame:
     """qid, key, score, rank: corpus rows by summed idf of shared distinct n-grams (rounded to 6), ties in key order.
 
-    Grams are filtered to the queries' before anything is shuffled by gram; idf is over the whole corpus.
+    A block of queries of checked size scores every row in one pass, and tasks emit their best rows alone; more
+    queries go through joins on grams.
     """
+    asked = queries.where("txt is not null").select("qid", "txt").limit(BLOCK_QUERIES + 1).collect()
+    grams = [{r["txt"][i : i + n] for i in range(len(r["txt"]) - n + 1)} for r in asked]
+    place = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+    if len(asked) <= BLOCK_QUERIES and len(place) * len(asked) <= BLOCK_CELLS:
+        scored = _score_block([r["qid"] for r in asked], grams, place, queries.schema["qid"].dataType.simpleString(), corpus, key, most, n)
+    else:
+        scored = _score_by_joins(queries, corpus, key, n)
+    return best_per(scored, ["qid"], [F.desc("score"), *[F.asc(k) for k in key]], most, "rank")
+
+
+def _score_block(qids: list, grams: list[set], place: dict[str, int], qid_type: str, corpus: DataFrame, key: list[str], most: int, n: int) -> DataFrame:
+    def found(text: str | None) -> list[int]:
+        return [place[g] for g in {text[i : i + n] for i in range(len(text) - n + 1)} if g in place] if text else []
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(len(place), np.int64)
+        for b in batches:
+            for t in b["txt"]:
+                df[found(t)] += 1
+        yield pd.DataFrame({"gram": np.flatnonzero(df), "df": df[df > 0]})
+
+    total = corpus.count()
+    corpus = spread(corpus.select(*key, "txt"))
+    df = corpus.select("txt").mapInPandas(count, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()  # a row a gram
+    has = np.zeros((len(place), len(qids)), bool)
+    for q, own in enumerate(grams):
+        has[[place[g] for g in own], q] = True
+    idf = np.zeros(len(place))
+    for r in df:
+        idf[r["gram"]] = np.log(total / r["df"])
+    weights = has * idf[:, None]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, qs, scores = [], [], []
+            for i, t in enumerate(b["txt"]):
+                own = found(t)
+                hit = np.flatnonzero(has[own].any(0)) if own else []
+                if len(hit):
+                    rows.append(np.full(len(hit), i))
+                    qs.append(hit)
+                    scores.append(np.round(weights[own].sum(0)[hit], 6))
+            if rows:
+                out = b[key].iloc[np.concatenate(rows)].reset_index(drop=True).assign(_q=np.concatenate(qs), score=np.concatenate(scores))
+                out = out.sort_values(["_q", "score", *key], ascending=[True, False, *[True] * len(key)]).groupby("_q").head(most)
+                yield out.assign(qid=[qids[q] for q in out["_q"]])[["qid", *key, "score"]]
+
+    types = {f.name: f.dataType.simpleString() for f in corpus.schema}
+    return corpus.select(*key, "txt").mapInPandas(score, f"qid {qid_type}, " + ", ".join(f"{k} {types[k]}" for k in key) + ", score double")
+
+
+def _score_by_joins(queries: DataFrame, corpus: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Grams are filtered to the queries' before anything is shuffled by gram; idf is over the whole corpus."""
     asked = queries.select("qid", F.explode(char_ngrams(F.col("txt"), n)).alias("gram"))
     wanted = bounded(asked.select("gram").distinct(), 1_000_000)
     postings = corpus.select(*key, F.explode(char_ngrams(F.col("txt"), n)).alias("gram")).join(wanted, "gram", "left_semi")
     total = corpus.count()
     weights = postings.groupBy("gram").agg(F.log(F.lit(total) / F.count("*")).alias("idf"))
-    scored = asked.join(weights, "gram").join(postings, "gram").groupBy("qid", *key).agg(F.round(F.sum("idf"), 6).alias("score"))
-    return best_per(scored, ["qid"], [F.desc("score"), *[F.asc(k) for k in key]], most, "rank")
+    return asked.join(weights, "gram").join(postings, "gram").groupBy("qid", *key).agg(F.round(F.sum("idf"), 6).alias("score"))
 
 
 def candidates_or_all(queries: DataFrame, corpus: DataFrame, key: list[str], most: int = 50, least: int = 20) -> DataFrame:

@@ -167,3 +167,13 @@ def test_phonemes(text, sounds):
     from seqloom.functions.phonemes import phonemes
 
     assert phonemes(text) == sounds
+
+
+def test_block_and_join_scores_agree(spark):
+    from seqloom.operators import joins
+
+    corpus = spark.createDataFrame([(1, 1, "the quick fox"), (1, 2, "the slow fox"), (2, 1, ""), (2, 2, None), (3, 1, "ünïcödé fox"), (3, 2, "the quick fox")], "grp long, seq long, txt string")
+    queries = spark.createDataFrame([(7, "quick foxes"), (8, "zz"), (9, None), (10, "ïcö")], "qid long, txt string")
+    block = {(r["qid"], r["grp"], r["seq"]): r["score"] for r in joins.gram_candidates(queries, corpus, ["grp", "seq"], 50).collect()}
+    joined = {(r["qid"], r["grp"], r["seq"]): r["score"] for r in joins._score_by_joins(queries, corpus, ["grp", "seq"], 3).collect()}
+    assert block == joined and {q for q, _, _ in block} == {7, 10}
