@@ -6,6 +6,7 @@ Distances keep a column of their table as the bits of one integer, so a step cos
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -194,8 +195,12 @@ def lev_ratio(a: str, b: str) -> float:
     return 1.0 if not total else (total - edit_distance(a, b)) / total
 
 
+@lru_cache(1 << 18)
 def words_match(a: str, b: str, least: float = 0.7) -> bool:
-    return a == b or (len(a) > 2 and len(b) > 2 and lev_ratio(a, b) >= least)
+    if a == b:
+        return True
+    total = len(a) + len(b)
+    return len(a) > 2 and len(b) > 2 and (total - abs(len(a) - len(b))) / total >= least and lev_ratio(a, b) >= least
 
 
 def lookahead_align(heard: Sequence[str], words: Sequence[str], start: int = 0, ahead: int = 5) -> tuple[int, list[int]]:
@@ -212,18 +217,27 @@ def lookahead_align(heard: Sequence[str], words: Sequence[str], start: int = 0,
 
 
 def fuzzy_lcs(heard: Sequence[str], words: Sequence[str]) -> tuple[int, list[int]]:
-    """Longest common subsequence under words_match; position after the furthest matched word, and the matched places."""
-    n, m = len(heard), len(words)
-    same = [[words_match(h, w) for w in words] for h in heard]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i, j in ((i, j) for i in range(n) for j in range(m)):
-        best[i + 1][j + 1] = best[i][j] + 1 if same[i][j] else max(best[i][j + 1], best[i + 1][j])
-    out, i, j = [], n, m
+    """Longest common subsequence under words_match; position after the furthest matched word, and the matched places.
+
+    Row i of the table is an integer, whose bit j is 0 where the cell after word j is one more than the cell before it.
+    """
+    m = len(words)
+    full, masks, same = (1 << m) - 1, _masks(words), {}
+    for h in heard:
+        if h not in same:
+            same[h] = sum(places for w, places in masks.items() if words_match(h, w))
+    rows = [full]
+    for h in heard:
+        hit = rows[-1] & same[h]
+        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+    out, i, j = [], len(heard), m
     while i and j:
-        if same[i - 1][j - 1]:
+        if same[heard[i - 1]] >> (j - 1) & 1:
             i, j = i - 1, j - 1
             out.append(j)
-        elif best[i - 1][j] >= best[i][j - 1]:
+            continue
+        before, here = rows[i - 1] & ((1 << j) - 1), rows[i] & ((1 << j) - 1)
+        if before.bit_count() == here.bit_count():  # the cell above is as large
             i -= 1
         else:
             j -= 1

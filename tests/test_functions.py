@@ -1,6 +1,7 @@
 """Golden values and properties of functions."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import alignment as al
 from seqloom.functions import scalar, similarity, text
 from seqloom.operators import decode, evaluation, structure
+from seqloom.plans.catalog import QUERIES
 
 short = st.text("abc ", max_size=12)
 
@@ -177,3 +179,32 @@ def test_block_and_join_scores_agree(spark):
     block = {(r["qid"], r["grp"], r["seq"]): r["score"] for r in joins.gram_candidates(queries, corpus, ["grp", "seq"], 50).collect()}
     joined = {(r["qid"], r["grp"], r["seq"]): r["score"] for r in joins._score_by_joins(queries, corpus, ["grp", "seq"], 3).collect()}
     assert block == joined and {q for q, _, _ in block} == {7, 10}
+
+
+def test_fuzzy_lcs_by_full_table():
+    rng = random.Random(5)
+    pool = ["quick", "quik", "brown", "browm", "the", "a", "of", "fox", "foxes", "jumps"]
+    for _ in range(200):
+        heard, words = ([rng.choice(pool) for _ in range(rng.randint(0, 70))] for _ in range(2))
+        best = [[0] * (len(words) + 1) for _ in range(len(heard) + 1)]
+        for i, h in enumerate(heard):
+            for j, w in enumerate(words):
+                best[i + 1][j + 1] = best[i][j] + 1 if al.words_match(h, w) else max(best[i][j + 1], best[i + 1][j])
+        out, i, j = [], len(heard), len(words)
+        while i and j:
+            if al.words_match(heard[i - 1], words[j - 1]):
+                i, j = i - 1, j - 1
+                out.append(j)
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        assert al.fuzzy_lcs(heard, words) == ((out[0] + 1 if out else 0), out[::-1])
+
+
+def test_lookahead_align_reads_whole_turns(spark, tmp_path):
+    words = [f"{c}{d}word" * 2 for c in "abcdefghij" for d in "klmnopqrst"]
+    rows = [(1, 0, "user", " ".join(words)), (1, 1, "user", " ".join(words))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["lookahead_align"](spark, str(tmp_path)).collect()
+    assert [(r["grp"], r["seq"], r["lcs"]) for r in got] == [(1, 0, 100)]
