@@ -283,17 +283,35 @@ def lexical_score(query: str, text: str, least: float = 0.72) -> float:
     return max(0.0, min(1.0, score))
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all frames; by products, and by differences where those would cancel."""
+    norms = (a * a).sum(-1)[:, None] + (b * b).sum(-1)[None]
+    square = norms - 2 * (a @ b.T)
+    i, j = np.nonzero(square < 1e-6 * norms)
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        square[x, y] = ((a[x] - b[y]) ** 2).sum(-1)
+    return np.sqrt(square)
+
+
 def dtw_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """1 / (1 + cost per step of the longer), cost of the cheapest monotone path over Euclidean frame distances."""
-    if not len(a) or not len(b):
+    """1 / (1 + cost per step of the longer), cost of the cheapest monotone path over Euclidean frame distances.
+
+    Two rows of the table are kept, and distances of a block of rows. Along a row, a cell is the running sum of
+    distances plus the least (cost above less the running sum before it) so far.
+    """
+    n, m = len(a), len(b)
+    if not n or not m:
         return 0.0
-    far = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
-    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
-    cost[0, 0] = 0
-    for i in range(len(a)):
-        for j in range(len(b)):
-            cost[i + 1, j + 1] = far[i, j] + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
-    return float(1 / (1 + cost[-1, -1] / max(len(a), len(b))))
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    above, block = np.full(m + 1, np.inf), max(1, (1 << 20) // m)
+    above[0] = 0
+    for at in range(0, n, block):
+        for far in _distances(a[at : at + block], b):
+            run, row = np.cumsum(far), np.full(m + 1, np.inf)
+            row[1:] = run + np.minimum.accumulate(np.minimum(above[1:], above[:-1]) - (run - far))
+            above = row
+    return float(1 / (1 + above[-1] / max(n, m)))
 
 
 def _pairwise(function, kind: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import alignment, similarity, text
 from seqloom.operators import corpus as build
-from seqloom.operators import decode, joins, retrieval, structure
+from seqloom.operators import decode, joins, retrieval
 from seqloom.plans.match_queries import _PAIRS, _join, _lev, _pairs
 from seqloom.plans.registry import ASCII_CORPUS, PASSAGES, query, split
 from seqloom.sources.tables import ascii_corpus, corpus, passages, table
@@ -111,9 +111,8 @@ def best_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dtw_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring labels' first frames, compared by dynamic time warping."""
-    first = structure.best_per(table(spark, sf_dir, "embeddings"), ["label"], [F.asc("vec_id")], 20)
-    frames = first.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("f"))
+    """Neighbouring labels' frames, all of them in order of vec_id, compared by dynamic time warping."""
+    frames = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("f"))
     other = frames.select((F.col("label") - 1).alias("label"), F.col("f").alias("g"))
     return frames.join(other, "label").select("label", F.round(alignment.udfs()["dtw_similarity"]("f", "g"), 6).alias("score"))
 

@@ -208,3 +208,26 @@ def test_lookahead_align_reads_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["lookahead_align"](spark, str(tmp_path)).collect()
     assert [(r["grp"], r["seq"], r["lcs"]) for r in got] == [(1, 0, 100)]
+
+
+def full_dtw(a, b):
+    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+    cost[0, 0] = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            cost[i + 1, j + 1] = np.sqrt(((a[i] - b[j]) ** 2).sum()) + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+    return 1 / (1 + cost[-1, -1] / max(len(a), len(b)))
+
+
+def test_dtw_reads_all_frames(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (1, 9), (30, 70), (70, 30)):
+        a, b = rng.normal(size=(n, 4)) + 1e3, rng.normal(size=(m, 4)) + 1e3
+        b[m // 2] = a[n // 2]
+        assert abs(al.dtw_similarity(a, b) - full_dtw(a, b)) < 1e-9
+    frames = {k: rng.normal(size=(60, 4)).astype(np.float32).astype(float) for k in (0, 1)}
+    frames[1][:20] = frames[0][:20]
+    rows = [(2 * i + k, k, [float(x) for x in f[i]]) for k, f in frames.items() for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["dtw_similarity"](spark, str(tmp_path)).collect()
+    assert [(r["label"], round(full_dtw(frames[0], frames[1]), 6)) for r in got] == [(0, got[0]["score"])]
