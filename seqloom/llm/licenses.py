@@ -3,7 +3,8 @@
 Every rolling word k-gram of every text is joined by hash to the k-grams of licence templates. A hit at word
 i of the text and word j of the template lies on diagonal i - j; hits are counted per text, template and
 diagonal, so a passage that follows the template votes for one diagonal, and insertions or gaps move it to a
-neighbour. Neighbouring diagonals are merged, and the span they cover is verified against the template's words.
+neighbour. Neighbouring diagonals are merged, and the span they cover is verified against the template's words;
+where a text repeats itself and more than RUN of them chain, every run of RUN neighbours is verified.
 
 The templates are a fixed, small table, so broadcasting it has a proven bound and the k-grams are never
 shuffled: only hits are, a few for each text that quotes a licence.
@@ -52,6 +53,9 @@ COMMON = frozenset("a and any as by for free in is it of or the this to under us
 #: Diagonals this close are one passage; a span is verified if this share of the template's words is found in order.
 SLACK, SIMILAR = 3, 0.8
 
+#: Diagonals that one passage can stretch over.
+RUN = 50
+
 
 def words_of(text: str | None) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -69,14 +73,36 @@ def template_grams(phrases=PHRASES, templates=TEMPLATES, k: int = K) -> list[tup
     return out
 
 
-def in_order(span: list[str], template: list[str]) -> int:
-    """Words of the template found in the span in order (longest common subsequence)."""
-    row = [0] * (len(span) + 1)
-    for w in template:
-        last = 0
-        for i, s in enumerate(span, 1):
-            last, row[i] = row[i], last + 1 if s == w else max(row[i], row[i - 1])
-    return row[-1]
+def in_order(span: list[int], size: int) -> int:
+    """Words of a template of that size found in the span in order (longest common subsequence); span: each word's places in the template, as bits."""
+    full = row = (1 << size) - 1
+    for places in span:
+        hit = row & places
+        row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
+def passages(group: list[tuple[int, int, int, list[str]]], words: list[str]) -> Iterator[tuple[int, int, int]]:
+    """Matched words, first and last diagonal of the runs of a group that hold enough of the template's words in order.
+
+    group: diagonal, votes, start, window, by diagonal. Windows of neighbours overlap, so a run covers one stretch of
+    the text. A run that meets an earlier one and matches no more words than it is left out.
+    """
+    places: dict[str, int] = {}
+    for i, w in enumerate(words):
+        places[w] = places.get(w, 0) | 1 << i
+    base, stretch = group[0][2], []
+    for _, _, start, window in group:
+        stretch += [places.get(w, 0) for w in window[base + len(stretch) - start :]]
+    if in_order(stretch, len(words)) < SIMILAR * len(words):  # then no run has more
+        return
+    before, most = -RUN, 0
+    for at in range(max(1, len(group) - RUN + 1)):
+        run = group[at : at + RUN]
+        matched = in_order(stretch[run[0][2] - base : run[-1][2] + len(run[-1][3]) - base], len(words))
+        if matched >= SIMILAR * len(words) and (matched > most or at >= before + RUN):
+            before, most = at, matched
+            yield matched, run[0][0], run[-1][0]
 
 
 def verified(hits: list[tuple[int, int, int, int, list[str]]], phrases=PHRASES, templates=TEMPLATES) -> tuple[int, int | None, int | None, set[str], set[str], float]:
@@ -111,12 +137,8 @@ def verified(hits: list[tuple[int, int, int, int, list[str]]], phrases=PHRASES,
         for group in groups:
             if sum(h[1] for h in group) < need:
                 continue
-            place: dict[int, str] = {}
-            for _, _, start, window in group[:50]:
-                place.update(enumerate(window, start))
-            matched = in_order([place[i] for i in sorted(place)], words)
-            if matched >= SIMILAR * len(words):
-                spans.append((matched / len(words), matched, group[0][0], group[-1][0] + len(words), label))
+            for matched, low, high in passages(group, words):
+                spans.append((matched / len(words), matched, low, high + len(words), label))
                 score = max(score, matched / len(words))
     labels, kept = set(), []
     for span in sorted(spans, reverse=True):  # where passages overlap, the one that fits better names the licence
