@@ -7,7 +7,7 @@ Values made of letters and digits go through a keyed permutation of all values o
 network with cycle walking), so distinct values stay distinct, and equal ones stay equal, in every
 document and every run with the same key. Names are drawn from syllables by keyed hash, in the gender
 of their title and the script of the name; a collision check over the distinct entities of the corpus
-moves all but one of those that met to another draw.
+moves all but one of those that met to another draw, which has more syllables.
 """
 
 from __future__ import annotations
@@ -134,15 +134,23 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _phone(digits: str, country: int, key: bytes) -> str:
+#: Country codes of two digits; 1 and 7 are whole codes, all others have three.
+CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _phone(canon: str, key: bytes) -> str:
+    """Digits of the surrogate: the country code stays, and numbers reserved for fiction (555) stay among themselves."""
+    digits = canon.removeprefix("+")
+    country = 0 if digits == canon else 1 if digits[0] in "17" else 2 if digits[:2] in CODES else 3
     code, rest = digits[:country], digits[country:]
-    fixed = rest[3:6] if len(rest) == 10 and rest[3:6] == "555" else ""  # numbers reserved for fiction stay so
+    fiction = lambda x: len(x) == 10 and x[3:6] == "555"
+    fixed = "555" if fiction(rest) else ""
     own = rest[:3] + rest[6:] if fixed else rest
     first = lambda x: (x[0] > "0") + (x[0] > "1")
     kind, out = first(own), own
     while True:
         out = permute_shape(out, key, f"phone{code}{fixed}")
-        if first(out) == kind:
+        if first(out) == kind and not fiction(out):
             break
     return code + (out[:3] + fixed + out[3:] if fixed else out)
 
@@ -152,15 +160,32 @@ def _email(text: str, key: bytes) -> str:
     *labels, top = domain.split(".")
     if not (labels and labels[-1] == "example") and top not in ("example", "test", "invalid"):
         labels = [permute_shape(x, key, f"label.{top}") for x in labels]
+        while labels[-1] == "example":  # such domains stay as they are
+            labels[-1] = permute_shape(labels[-1], key, f"label.{top}")
     out = f"{permute_shape(local, key, 'local@' + domain)}@{'.'.join([*labels, top])}"
     return "".join(n.upper() if o.isupper() else n for o, n in zip(text, out, strict=True))
 
 
+def _checked(country: str, body: str) -> str:
+    """The account number with its two check digits for modulo 97."""
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+    return f"{country}{check:02d}{body}"
+
+
 def _account(chars: str, key: bytes) -> str:
-    """Keep the country; permute the rest; set the two check digits for modulo 97."""
-    body = permute_shape(chars[4:], key, f"account{chars[:2]}")
-    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{chars[:2]}00")) % 97
-    return f"{chars[:2]}{check:02d}{body}"
+    """Keep the country; permute the rest; set the check digits."""
+    return _checked(chars[:2], permute_shape(chars[4:], key, f"account{chars[:2]}"))
+
+
+def _secret(text: str, key: bytes, tag: str, narrow: str, wide: tuple[str, ...]) -> str:
+    """Permute text among those of the narrow alphabet alone, if it is one, else among the others of its shape."""
+    if all(c in narrow for c in text):
+        return permute_shape(text, key, tag, (narrow,))
+    out = text
+    while True:
+        out = permute_shape(out, key, tag, wide)
+        if any(c not in narrow for c in out):
+            return out
 
 
 def script(name: str) -> str:
@@ -168,18 +193,21 @@ def script(name: str) -> str:
 
 
 def name_surrogate(canon: str, attempt: int, key: bytes) -> str:
-    """canon: gender, |, name. As many words as the name has; given name of the gender, family name of syllables."""
+    """canon: gender, |, name. As many words as the name has; given name of the gender, family name of four syllables and one more for each attempt."""
     gender, _, name = canon.partition("|")
     kind, words = script(name), name.split(" ")
-    draw = _prf(key, f"name{attempt}/{kind}", int.from_bytes(canon.encode(), "big"))
+    seed, n = int.from_bytes(canon.encode(), "big"), 4 + attempt
+    draw = _prf(key, f"name{attempt}/{kind}", seed)
+    if attempt:
+        draw |= _prf(key, f"more{attempt}/{kind}", seed) << 128
     out = []
     for i in range(len(words)):
         if i == 0 and len(words) > 1:
             draw, at = divmod(draw, len(GIVEN[kind, gender]))
             out.append(GIVEN[kind, gender][at])
         else:
-            draw, at = divmod(draw, 16**4)
-            out.append("".join(SYLLABLES[kind][at >> s & 15] for s in (0, 4, 8, 12)).capitalize() + ENDING.get((kind, gender), ""))
+            draw, at = divmod(draw, 16**n)
+            out.append("".join(SYLLABLES[kind][at >> 4 * s & 15] for s in range(n)).capitalize() + ENDING.get((kind, gender), ""))
     return " ".join(out)
 
 
@@ -194,6 +222,20 @@ def _valid(kind: str, text: str) -> bool:
     return True
 
 
+def _canon(kind: str, value: str) -> str:
+    """What all ways to write an entity have in common. A phone number keeps its plus."""
+    if kind == "email":
+        return value.lower()
+    if kind in ("card", "ssn", "phone"):
+        return ("+" if kind == "phone" and value[0] == "+" else "") + re.sub(r"\D", "", value)
+    if kind == "account":
+        chars = value.replace(" ", "")
+        return _checked(chars[:2], chars[4:])
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    return value
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, type, canonical value of every entity, in order, without overlaps."""
     found = []
@@ -204,10 +246,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 start += re.match(r"(?i)[\w-]+?\s*[=:]\s*[\"']?", value).end()
                 value = text[start : m.end()]
             if _valid(kind, value):
-                canon = value.lower() if kind == "email" else re.sub(r"\D", "", value) if kind in ("card", "phone", "ssn") else value.replace(" ", "") if kind == "account" else value
-                found.append((start, m.end(), kind, canon))
+                found.append((start, m.end(), kind, _canon(kind, value)))
             elif kind == "card" and _valid("phone", value):
-                found.append((start, m.end(), "phone", re.sub(r"\D", "", value)))
+                found.append((start, m.end(), "phone", _canon("phone", value)))
     for m in NAMES.finditer(text) if any(t in text for t in TITLES) else ():
         if all(m.end() <= a or m.start() >= b for a, b, _, _ in found):
             found.append((m.start(3), m.end(3), "name", f"{TITLES[m[1]]}|{m[3]}"))
@@ -227,14 +268,13 @@ def surrogate(kind: str, canon: str, text: str, key: bytes, attempt: int = 0) ->
     if kind == "ssn":
         return _put_digits(text, permute_shape(canon, key, "ssn"))
     if kind == "phone":
-        code = re.match(r"\+(\d{1,3})(?!\d)", text)
-        return _put_digits(text, _phone(canon, len(code[1]) if code else 0, key))
+        return _put_digits(text, _phone(canon, key))
     if kind == "account":
         it = iter(_account(canon, key))
         return "".join(c if c == " " else next(it) for c in text)
     if kind == "key":
-        return "AKIA" + permute_shape(text[4:], key, "key", (BASE32,) if all(c in BASE32 for c in text[4:]) else (DIGITS + UPPER,))
-    return permute_shape(text, key, "secret", (HEX,)) if all(c in HEX for c in text) else permute_shape(text, key, "secret")
+        return "AKIA" + _secret(text[4:], key, "key", BASE32, (DIGITS + UPPER,))
+    return _secret(text, key, "secret", HEX, (DIGITS, LOWER, UPPER))
 
 
 def replace(text: str | None, key: bytes = KEY, attempts: dict[str, int] | None = None) -> tuple[str | None, list[str]]:
@@ -265,33 +305,51 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, canon string, text string").groupBy("kind", "canon").agg(F.min("text").alias("text"))
 
 
-def collision_check(found: DataFrame, key: bytes = KEY, most: int = 100_000, rounds: int = 20) -> dict[str, int]:
+def collision_check(found: DataFrame, key: bytes = KEY, most: int = 100_000, rounds: int = 20) -> dict[str, int] | DataFrame:
     """Draws of the names whose first draw met another entity's surrogate. Raises if other types collide.
 
-    Each round draws anew for all but the smallest entity of a surrogate; at most `most` names are
-    redrawn (they go to every task), beyond which the syllable space is too small and it raises.
+    Each round draws anew, with one more syllable, for all but the smallest entity of a surrogate. A dict of at
+    most `most` names (they go to every task); more of them are a table of canon and attempt, to be joined.
     """
-    redraw: dict[str, int] = {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(new=[_normal(k, surrogate(k, c, t, key, a)) for k, c, t, a in zip(b["kind"], b["canon"], b["text"], b["attempt"], strict=True)])
+
+    rows = found.select("kind", "canon", "text", F.lit(0).alias("attempt"))
     for _ in range(rounds):
-        drawn = dict(redraw)
-
-        def run(batches: Iterator[pd.DataFrame], drawn=drawn) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                new = [re.sub(r"[ ().-]", "", surrogate(k, c, t, key, drawn.get(c, 0))) if k in ("card", "phone", "ssn", "account") else surrogate(k, c, t, key, drawn.get(c, 0)).lower() if k == "email" else surrogate(k, c, t, key, drawn.get(c, 0)) for k, c, t in zip(b["kind"], b["canon"], b["text"], strict=True)]
-                yield b[["kind", "canon"]].assign(new=new)
-
-        names = found.where("kind = 'name'").mapInPandas(run, "kind string, canon string, new string")
-        first = names.groupBy("new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1")
-        met = names.join(first, "new").where("canon <> first").select("canon").limit(most + 1).collect()
-        if not met:
-            return redraw
-        if len(met) > most:
-            raise ValueError("too many names meet; give the family names more syllables")
-        for r in met:
-            redraw[r["canon"]] = redraw.get(r["canon"], 0) + 1
+        drawn = stage(rows.mapInPandas(run, "kind string, canon string, text string, attempt int, new string"), "draws")
+        first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1")
+        met = stage(drawn.join(first, ["kind", "new"]).where("canon <> first").select("kind", "canon"), "met")
+        kinds = sorted(r["kind"] for r in met.select("kind").distinct().collect())
+        if set(kinds) - {"name"}:
+            raise ValueError(f"surrogates of different entities are equal: {', '.join(kinds)}")
+        if not kinds:
+            redrawn = drawn.where("attempt > 0").select("canon", "attempt")
+            return redrawn if redrawn.count() > most else {r["canon"]: r["attempt"] for r in redrawn.collect()}
+        again = met.select("kind", "canon", F.lit(1).alias("again"))
+        rows = drawn.where("kind = 'name'").join(again, ["kind", "canon"], "left").select("kind", "canon", "text", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
     raise ValueError("names still meet after all rounds")
 
 
+def _normal(kind: str, new: str) -> str:
+    """A surrogate without what the way of writing adds."""
+    return new if kind == "name" else _canon(kind, new)
+
+
+def _with_redraws(docs: DataFrame, text_col: str, redrawn: DataFrame) -> DataFrame:
+    """docs with column _redraws: the attempts of the redrawn names in each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, c) for h, t in zip(b["h"], b["text"]) for c in {c for _, _, kind, c in find(t or "") if kind == "name"}]
+            yield pd.DataFrame(rows, columns=["h", "canon"])
+
+    named = docs.select(F.sha2(F.col(text_col), 256).alias("h"), F.col(text_col).alias("text")).where("text is not null").mapInPandas(run, "h string, canon string").distinct()
+    own = named.join(redrawn, "canon").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("_redraws"))
+    return docs.withColumn("_h", F.sha2(F.col(text_col), 256)).join(own, F.col("_h") == F.col("h"), "left").select(*docs.columns, "_redraws")
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, found_col: str | None = "entities") -> DataFrame:
     """docs with surrogates in text_col, and the types found in each text in found_col (array; None: no such column).
 
@@ -302,13 +360,18 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, foun
     small_batches(docs.sparkSession)
     docs = docs.drop(found_col) if found_col in docs.columns else docs
     fields = docs.select("*", *([F.array(F.lit("")).alias(found_col)] if found_col else [])).schema
+    joined = not isinstance(attempts, dict)
+    if joined:
+        docs, attempts = _with_redraws(docs, text_col, attempts), None
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            done = [replace(t, key, attempts) for t in b.column(at).to_pylist()]
+            drawn = [dict(d or ()) for d in b.column("_redraws").to_pylist()] if joined else [attempts] * len(b)
+            done = [replace(t, key, d) for t, d in zip(b.column(at).to_pylist(), drawn, strict=True)]
+            b = b.drop_columns(["_redraws"]) if joined else b
             b = b.set_column(at, b.schema.field(at), pa.array([t for t, _ in done], b.schema.field(at).type))
             yield b.append_column(found_col, pa.array([k for _, k in done], pa.list_(pa.string()))) if found_col else b
 

@@ -97,6 +97,45 @@ def test_names_that_meet_are_drawn_anew(spark, monkeypatch):
     assert pii.collision_check(found, b"k") == {}
 
 
+ENTITIES = "kind string, canon string, text string"
+
+
+def test_ways_to_write_an_entity_share_its_surrogate():
+    for ways in (["+14155559807", "+1 (415) 555-9807", "+1.415.555.9807"], ["+4930123456", "+49 30 123456"], ["10.1.2.3", "10.01.2.3"]):
+        got = [pii.replace(f"call {w} now", b"key")[0] for w in ways]
+        assert all(g != f"call {w} now" for g, w in zip(got, ways)) and len({re.sub(r"\D", "", g) for g in got}) == 1
+    assert len({pii.find(x)[0][3] for x in ("a +49 30 123456 b", "a (493) 012-3456 b")}) == 2
+
+
+def test_classes_of_one_shape_stay_apart(monkeypatch):
+    # next value of the same size in place of the keyed permutation, so that walks leave their class
+    monkeypatch.setattr(pii, "permute", lambda value, size, key, tag: (value + 1) % size)
+    new = [pii.surrogate("secret", x, x, b"k") for x in ("9f", "9e", "8z", "9g", "8a")]
+    assert len(set(new)) == len(new) and [all(c in pii.HEX for c in x) for x in new] == [True, True, False, False, True]
+    keys = [pii.surrogate("key", x, x, b"k") for x in ("AKIA" + "A" * 15 + c for c in "1A7")]
+    assert len(set(keys)) == 3
+    phones = [pii.surrogate("phone", x, x, b"k") for x in ("+12225549999", "+12225559999", "+12225560000")]
+    assert [x[5:8] == "555" for x in phones] == [False, True, False] and len(set(phones)) == 3
+
+
+def test_other_types_that_meet_are_found(spark):
+    with pytest.raises(ValueError, match="ip"):  # one address as two entities
+        pii.collision_check(spark.createDataFrame([("ip", x, x) for x in ("1.2.3.4", "01.2.3.4")], ENTITIES), b"k")
+
+
+def test_names_gain_syllables_and_join(spark, frame, monkeypatch):
+    names = [f"{a}{b}{c}{d}x" for a in "BCDFGHJKLM" for b in "aeiou" for c in "bcdfghjklm" for d in "aeiou"]
+    found = spark.createDataFrame([("name", f"m|{n}", n) for n in names], ENTITIES)
+    drawn = pii.collision_check(found, b"k")
+    assert drawn and len({pii.name_surrogate(f"m|{n}", drawn.get(f"m|{n}", 0), b"k") for n in names}) == len(names)
+    assert len(pii.name_surrogate("m|Ann", 5, b"k")) > len(pii.name_surrogate("m|Ann", 0, b"k"))
+    docs = frame([(i, f"Mr. {n} and Mr. {names[0]}", "x", "y") for i, n in enumerate(names)] + [(None, None, None, None)], DOCS)
+    want = sorted(map(str, pii.pseudonymise(docs, key=b"k").collect()))
+    check = pii.collision_check
+    monkeypatch.setattr(pii, "collision_check", lambda found, key: check(found, key, most=0))
+    assert sorted(map(str, pii.pseudonymise(docs, key=b"k").collect())) == want
+
+
 def test_pseudonymise_tables(frame):
     docs = [(1, PRIVATE, "x", "y"), (1, PRIVATE, "x", "y"), (None, None, None, None), (3, "", "x", "y"), (4, "word " * 20_000 + "a@b.com", "x", "y")]
     got = pii.pseudonymise(frame(docs, DOCS), found_col="labels").collect()
