@@ -13,6 +13,7 @@ A document is good if it is labelled neither low quality nor toxic.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from seqloom.llm.common import checked_broadcast, small_batches, stage
 FIT_ROWS = 20_000
 #: Words are known by hashes of 24 bits: with fewer, harmless words share the hash of a telling one.
 WORD_BUCKETS = 1 << 24
-#: A word tells if it is this many standard deviations above its expected share of bad documents, in this share of the documents (eight at least), mostly bad ones.
-TELLING_Z, TELLING_SUPPORT, TELLING_SHARE = 6.0, 0.01, 0.85
+#: A word tells if it is this many standard deviations above its expected share of bad documents, in so many documents at any size of the sample, mostly bad ones.
+TELLING_Z, TELLING_SUPPORT, TELLING_SHARE = 6.0, 8, 0.85
 
 #: A document goes if it is good with less than this probability; below one half, to keep clean documents.
 REJECT_BELOW = 0.3
@@ -115,9 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
         for b in batches:
             texts = [t or "" for t in b["text"]]
             buckets = [sorted(word_buckets(t)) for t in texts]
-            yield pd.DataFrame({"good": b["good"], "style": [style(t) for t in texts], "buckets": buckets, "sketch": [str(sorted(k * 40503 % WORD_BUCKETS for k in x)[:4]) for x in buckets]})
+            yield pd.DataFrame({"good": b["good"], "style": [style(t) for t in texts], "buckets": buckets, "words": [hashlib.blake2b(np.array(x, "<i4").tobytes(), digest_size=16).hexdigest() for x in buckets]})
 
-    sample = stage(labelled(docs, labels, fit_rows).mapInPandas(run, "good int, style array<double>, buckets array<int>, sketch string"), "labelled")
+    sample = stage(labelled(docs, labels, fit_rows).mapInPandas(run, "good int, style array<double>, buckets array<int>, words string"), "labelled")
     n, good = sample.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n or good in (0, n):
         return None
@@ -141,17 +142,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     def styled_well(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array([[*s, 0.0] for s in b["style"]]).reshape(len(b), len(FEATURES))
-            yield b[["good", "buckets", "sketch"]][by_style.evidence(x) > 0]
+            yield b[["good", "buckets", "words"]][by_style.evidence(x) > 0]
 
-    # Words tell among documents that their style does not give away; copies count once.
-    once = stage(sample.mapInPandas(styled_well, "good int, buckets array<int>, sketch string").groupBy("sketch", "good").agg(F.min("buckets").alias("buckets")), "once")
+    # Words tell among documents that their style does not give away; documents of the same words count once.
+    once = stage(sample.mapInPandas(styled_well, "good int, buckets array<int>, words string").groupBy("words", "good").agg(F.min("buckets").alias("buckets")), "once")
     n, good = once.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n or good in (0, n):
         return by_style
     share = 1 - good / n
     table = once.select("good", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum(1 - F.col("good")).alias("bad"))
     z = (F.col("bad") - F.col("n") * share) / math.sqrt(share * (1 - share)) / F.sqrt("n")
-    told = table.where((F.col("n") >= max(8, TELLING_SUPPORT * n)) & (z > TELLING_Z) & (F.col("bad") >= TELLING_SHARE * F.col("n"))).collect()  # few: a telling word is in a share of all documents
+    told = table.where((F.col("n") >= TELLING_SUPPORT) & (z > TELLING_Z) & (F.col("bad") >= TELLING_SHARE * F.col("n"))).collect()  # of fit_rows documents at most
     return fitted({r["b"]: math.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (1 - share) / share) for r in told})
 
 

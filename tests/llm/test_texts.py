@@ -194,6 +194,17 @@ def test_sites_shrink_toward_their_parents(spark):
     assert shift["a", "x"] > 0 > shift["b", "x"] and shift["b", "x"] < shift["c", "x"] < 0.2 and abs(shift[None, None]) < shift["a", "x"]
 
 
+def test_rare_words_tell_in_a_large_sample(frame):
+    rng = random.Random(8)
+    pool, marks = [f"w{i}" for i in range(100, 500)], ["qabcd", "qefgh", "qijkl", "qmnop"]
+    names = sorted((f"s{i}" for i in range(100, 500)), key=lambda w: min(quality.word_buckets(w)) * 40503 % quality.WORD_BUCKETS)
+    clean = [" ".join([*rng.sample(names[4:], 4), rng.choice(marks), *rng.sample(pool, 25)]) for _ in range(1500)]
+    toxic = [" ".join([*names[:4], "zorgl", *rng.sample(pool, 25)]) for _ in range(12)]  # of one style with the clean ones; different, but their lowest hashes are the same
+    docs = frame([(i, t, "s", "en", "k") for i, t in enumerate(clean + toxic)], TEXTS)
+    model = quality.fit(docs, frame([(i, 1, int(i >= len(clean)), "") for i in range(len(clean + toxic))], LABELS))
+    assert quality.word_buckets("zorgl") <= set(model.words) and not any(quality.word_buckets(w) & set(model.words) for w in pool)
+
+
 def test_classifier_edges(frame, tmp_path, spark):
     docs = [(1, "some text here", "s", "en", "k"), (1, "some text here", "s", "en", "k"), (None, None, None, None, None), (3, "", "s", "de", "k"), (4, "x" * 100_000, "s", None, "k")]
     assert all(r["keep"] for r in quality.score(frame(docs, TEXTS), frame([], LABELS)).collect())
