@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.sources import io
-from seqloom.streaming.tracker import Corpus, Row, Tracker, best_path, peel, track, track_stream
+from seqloom.streaming.tracker import Corpus, Row, Tracker, best_path, peel, peel_sessions, track, track_stream
 
 TEXTS = {(1, 1): "in the name of the kind one", (1, 2): "all praise is for the lord of worlds", (1, 3): "master of the last day", (2, 1): "this is the book without any doubt", (2, 2): "a guide for those who fear"}
 ROWS = [Row(g, s, t) for (g, s), t in TEXTS.items()]
@@ -132,3 +132,11 @@ def test_audio(spark, tmp_path):
         w.setframerate(16000)
         w.writeframes(b"\x00\x40\x00\xc0")
     assert io.read_audio(spark, str(tmp_path), io.wav_samples).first()["samples"] == [0.5, -0.5]
+
+
+def test_peel_sessions_reads_as_far_as_the_longest_row(frame):
+    words = [f"word{i}" for i in range(70)]
+    heard = [f"{w}x" for w in words[:60]] + words[60:]
+    rows = Corpus([Row(1, 1, " ".join(words)), Row(2, 1, "word5x qqqq")])
+    got = peel_sessions(frame([(1, " ".join(heard))], "session long, txt string"), rows).collect()
+    assert [(r["grp"], r["seq"]) for r in got] == [(1, 1)]
