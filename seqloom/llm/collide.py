@@ -109,7 +109,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, miss: float = 1e-5,
     columns are ignored.
     """
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), solid_id(F.col(id_col)).alias("vec_id"), usable(F.col(vector_col)).alias("ok"), F.col(vector_col).alias("v"))
-    small_batches(vectors.sparkSession, 2000)
+    small_batches(vectors.sparkSession)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

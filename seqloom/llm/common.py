@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from seqloom.sources.staging import shared_dir, stage, staged_path  # noqa: F401
 
-#: Rows in one Arrow batch of whole texts; with it a batch stays at a few MB for usual documents.
-TEXT_BATCH_ROWS = 400
+#: Rows and bytes of one Arrow batch: the same for every operator, so that a frame's batches do not depend on which other is built.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch in bytes, as texts may be long; one longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 #: Stands for a null id inside Python, where a column with nulls would become floating point and round large ids.

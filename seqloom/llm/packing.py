@@ -24,6 +24,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,23 +34,80 @@ from seqloom.llm.common import open_id, small_batches, solid_id, stage
 
 CAPACITY = 4096
 END_ID = 1
+#: Bytes of words that one Python worker remembers; characters cut into words at once; bytes encoded in one call.
+CACHE_BYTES, BLOCK_CHARS, CALL_BYTES = 16_000_000, 1_500_000, 100_000
 
 Run = tuple[tuple[int, ...], int]
 
 
+class WordTable:
+    """Words and their ids in flat Arrow and numpy arrays, of a bounded size in bytes: beyond it the half used longest ago goes."""
+
+    def __init__(self, most: int):
+        self.most, self.clock = most, 0
+        self.words = pa.array([], pa.binary())
+        self.ids, self.starts, self.used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.starts.nbytes + self.used.nbytes
+
+    def trim(self) -> None:
+        self.clock += 1
+        if self.nbytes() <= self.most:
+            return
+        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
+        ids, sizes = self.take(keep)
+        self.words, self.ids, self.used = self.words.take(pa.array(keep)), ids, self.used[keep]
+        self.starts = np.append(0, np.cumsum(sizes))
+
+    def find(self, words: pa.BinaryArray) -> np.ndarray:
+        """Places of words in the table; -1 for unknown ones."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False) if len(self.words) else np.full(len(words), -1, np.int32)
+        self.used[at[at >= 0]] = self.clock
+        return at
+
+    def add(self, words: pa.BinaryArray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        self.ids = np.append(self.ids, ids)
+        self.used = np.append(self.used, np.full(len(words), self.clock, np.int32))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after another, and how many each has."""
+        sizes = (self.starts[1:] - self.starts[:-1])[at]
+        where = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
+        where += np.arange(len(where))
+        return self.ids[where], sizes
+
+
+def slices(text, blank, newline, most: int) -> Iterator:
+    """A text or bytes in parts of at most `most`, each cut before a blank or newline; a longer word stays whole."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(blank, at + 1, at + most), text.rfind(newline, at + 1, at + most))
+        if cut < 0:
+            cut = min((x for x in (text.find(blank, at + most), text.find(newline, at + most)) if x >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 class CachedEncoder:
-    """Token ids of whole texts, with a bounded cache of words.
+    """Token ids of whole texts, with a cache of words that is bounded in bytes.
 
-    The tokenizer lower-cases, drops white space and cuts a text into words, which it encodes one by one. For
-    texts of Latin-1 letters and marks the words are cut here; the tokenizer encodes those that are not in the
-    cache, many in one call, and its word ends say which ids belong to which. Other texts are cut at blanks
-    and newlines, which no normalisation or word spans, and those chunks are encoded whole.
+    The tokenizer lower-cases, drops white space and cuts a text into words, which it encodes one by one. Texts of
+    Latin-1 letters and marks are cut into words here, a block of texts at a time, and each distinct word of a
+    block is looked up once; the tokenizer encodes unknown ones, many in one call, and its word ends say which ids
+    belong to which. Other texts are cut at blanks and newlines, which no normalisation or word spans, and those
+    chunks are encoded whole. Memory follows the block and the longest single word or chunk, not the text.
     """
 
     OTHER = re.compile("[^\t-\r -~\u00a1-\u00ff]")
-    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\t-\r 0-9a-z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+    LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
+    #: What a lower-cased Latin-1 character belongs to: 0 white space, 1 a word of letters, 2 a digit alone, 3 a run of marks.
+    KIND = np.array([0 if c in "\t\n\v\f\r " else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in map(chr, range(256))], np.uint8)
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,37 +115,90 @@ class CachedEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.cache_words = cache_words
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
-
-    def _one_by_one(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
-
-    def _learn(self, items: list[str]) -> None:
-        for at in range(0, len(items), 4000):
-            some = items[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                raw = ids.tobytes()
-                self.words.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
-            else:
-                self.words.update(zip(some, self._one_by_one(some)))
+        self.words, self.chunks = WordTable(cache_bytes), WordTable(cache_bytes // 4)
+
+    def _one_by_one(self, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in items], add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _all_at_once(self, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(items).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(items) or ends[-1] != len(ids):
+            return self._one_by_one([x.decode("latin-1").encode() for x in items])
+        return ids, np.diff(ends, prepend=0)
+
+    def _look_up(self, table: WordTable, words: pa.BinaryArray, encode: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has; unknown ones are encoded in calls of a bounded size."""
+        table.trim()
+        at = table.find(words)
+        unknown = at < 0
+        if unknown.any():
+            missing = words.filter(pa.array(unknown))
+            new, known = pc.unique(missing), len(table.words)
+            at = at.copy()
+            at[unknown] = pc.index_in(missing, value_set=new).to_numpy() + known
+            call = np.cumsum(pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64) + 25) // CALL_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(call)) + 1), len(new)]
+            found = [encode(new.slice(a, b - a).to_pylist()) for a, b in zip(cuts, cuts[1:])]
+            table.add(new, *map(np.concatenate, zip(*found)))
+        return table.take(at)
+
+    def word_starts(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start in lower-cased Latin-1 bytes, and which bytes belong to words."""
+        kind = self.KIND[raw]
+        start = kind != 0
+        inside = start.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        mark = np.flatnonzero(start & (raw == 39))  # 's 't 'm 'd 're 've 'll are words of their own
+        if len(mark):
+            raw, kind = np.append(raw, [0] * 3), np.append(kind, [0] * 3)
+            one, two = raw[mark + 1], raw[mark + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            for own, size in ((mark[short], 2), (mark[long & ~short], 3)):
+                start[own + 1] = False
+                rest = own + size
+                start[rest[kind[rest] == 1]] = True
+        return np.flatnonzero(start), inside
+
+    def _block(self, parts: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"\n".join(parts).translate(self.LOWER), np.uint8)
+        at, inside = self.word_starts(raw)
+        if not len(at):
+            return [np.zeros(0, "<u4")] * len(parts)
+        before = np.cumsum(inside, dtype=np.int32)
+        offsets = np.append(before[at] - 1, before[-1]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+        found, sizes = self._look_up(self.words, words, self._all_at_once)
+        end = np.cumsum(sizes)
+        firsts = np.cumsum([0, *[len(p) + 1 for p in parts]])[1:-1]
+        return np.split(found, np.append(0, end)[np.searchsorted(at, firsts)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not self.OTHER.search(t) for t in texts]
-        parts = [self.WORDS.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain)]
-        wanted = set().union(*[x for x, p in zip(parts, plain) if p])
-        if len(self.words) + len(wanted) > self.cache_words:
-            self.words = {k: v for k, v in self.words.items() if k in wanted}
-        self._learn(list(wanted - self.words.keys()))
-        wanted = set().union(*[x for x, p in zip(parts, plain) if not p])
-        if len(self.chunks) + len(wanted) > self.cache_words // 4:
-            self.chunks = {"": b""}
-        new = list(wanted - self.chunks.keys())
-        self.chunks.update(zip(new, self._one_by_one(new)))
-        return [np.frombuffer(b"".join(map((self.words if p else self.chunks).__getitem__, x)), "<u4") for x, p in zip(parts, plain)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(held, self._block([p for _, p in held]), strict=True):
+                out[i].append(ids)
+
+        for i, t in enumerate(texts):
+            if self.OTHER.search(t):
+                for part in slices(t, " ", "\n", BLOCK_CHARS):
+                    chunks = [x for x in part.encode("utf-8", "replace").replace(b"\n", b" ").split(b" ") if x]
+                    out[i].append(self._look_up(self.chunks, pa.array(chunks, pa.binary()), self._one_by_one)[0])
+                continue
+            for part in slices(t.encode("latin-1"), b" ", b"\n", BLOCK_CHARS):
+                held.append((i, part))
+                size += len(part)
+                if size > BLOCK_CHARS:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return [np.concatenate(x) if x else np.zeros(0, "<u4") for x in out]
 
 
 @cache
@@ -295,16 +407,20 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
 
 
 def plan(runs: list[Run]) -> dict[int, np.ndarray]:
-    """For each length the rows (first rank, first sequence, offset) of its places, by first rank."""
-    places: dict[int, list[tuple[int, int, int]]] = {}
+    """For each length the rows (first rank, first sequence, offset, pieces of this length in a sequence) of its places, by first rank.
+
+    Bounded whatever the input: best fit adds three fillings at most for each of `capacity` lengths, the search opens `nodes`,
+    and a filling has about sqrt(2 * capacity) different lengths at most.
+    """
+    places: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: Counter = Counter()
     sequence = 0
     for filling, times in runs:
         offset = 0
-        for s in filling:
-            places.setdefault(s, []).append((ranks[s], sequence, offset))
-            ranks[s] += times
-            offset += s
+        for s, k in Counter(filling).items():
+            places.setdefault(s, []).append((ranks[s], sequence, offset, k))
+            ranks[s] += times * k
+            offset += s * k
         sequence += times
     return {s: np.array(p, np.int64) for s, p in places.items()}
 
@@ -319,11 +435,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     found = stage(pieces(docs, id_col, text_col, tokenizer, capacity), "pieces")
     counted = found.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    places = plan(bin_completion(histogram, capacity))
+    places = docs.sparkSession.sparkContext.broadcast(plan(bin_completion(histogram, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counted.select("part", "length", F.coalesce(before, F.lit(0)).alias("first"))
     ranked = found.join(firsts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
-    small_batches(docs.sparkSession, 10_000)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -331,10 +447,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             lengths, ranks = b["length"].to_numpy(), b["rank"].to_numpy()
             order = np.argsort(lengths, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(b) else []:
-                table = places[int(lengths[own[0]])]
-                at = np.searchsorted(table[:, 0], ranks[own], "right") - 1
-                sequence[own] = table[at, 1] + ranks[own] - table[at, 0]
-                offset[own] = table[at, 2]
+                first, seq, off, k = places.value[int(lengths[own[0]])].T
+                at = np.searchsorted(first, ranks[own], "right") - 1
+                nth = ranks[own] - first[at]
+                sequence[own] = seq[at] + nth // k[at]
+                offset[own] = off[at] + nth % k[at] * lengths[own]
             yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     placed = ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -169,7 +169,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, cell_rows: int = 8192)
     rows = with_pivot_table(fps).withColumn("band", F.explode(bands))
     rows = deal_cells(rows, "band", "fp", cell_rows)
     order = ["band", "lo", "hi", "d0", "fp"]
-    small_batches(fps.sparkSession, 20_000)
+    small_batches(fps.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in whole_groups(batches, ["band", "lo", "hi"]):

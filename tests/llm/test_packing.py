@@ -67,7 +67,7 @@ def test_beats_best_fit_where_it_can():
 
 
 def test_ids_are_the_tokenizers():
-    encoder = packing.CachedEncoder(packing.default_tokenizer(), cache_words=50)
+    encoder = packing.CachedEncoder(packing.default_tokenizer(), cache_bytes=20_000)
     texts = ["", "Hello, World's   end\n", "ÀÉß don't!! 12²½", "日本語 Ως İ a\x85b\xa0c\x1cd", "<|endoftext|> x", "a" * 5000, "é é ﬁ", "x " * 300]
     for t, e in zip(texts * 2, encoder.tokenizer.encode_batch(texts * 2, add_special_tokens=False), strict=True):
         assert encoder.encode([t])[0].tolist() == e.ids
