@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.structure import best_per
+from seqloom.sources.staging import stage
 
 
 def histogram(rows: DataFrame, key: str) -> DataFrame:
@@ -27,12 +28,15 @@ def stratified_sample(rows: DataFrame, stratum: str, row_id: str, n: int, seed:
 
 def numbered(rows: DataFrame, order: str, column: str) -> DataFrame:
     """Rows numbered from 0 in a global order without gathering them in one task: ranges are sorted apart, and each one's
-    start is the number of rows before it."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    start is the number of rows before it.
+
+    The ranges are written once: sampling them again for another set of columns would draw other borders.
+    """
+    part, place = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
+    ranged = stage(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).select("*", part, place), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(starts.drop("_n")), "_part").withColumn(column, place).drop("_at", "_part", "_start")  # one row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(column, F.col("_start") + F.col("_at")).drop("_at", "_part", "_start")  # one row a partition
 
 
 def round_robin(rows: DataFrame, order: str, slots: int) -> DataFrame:

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.plans.registry import query
 from seqloom.sources import io
+from seqloom.sources.staging import staged_path
 from seqloom.sources.tables import table
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="seqloom-io-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return staged_path(spark, "io")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -204,15 +205,16 @@ def evidence_between_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "epoch").agg(F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "error").alias("errors"), F.count("*").alias("n"))
 
 
-def corpus_rows(spark: SparkSession, sf_dir: str) -> tracker.Corpus:
-    """The tracker's corpus, held by every task: benchmark passages, of which there is a fixed, small number."""
-    rows = passages(spark, sf_dir).limit(tracker_rows + 1).collect()
-    if len(rows) > tracker_rows:
-        raise ValueError("the tracker's corpus is held in memory; give it fewer rows")
-    return tracker.Corpus([tracker.Row(r["qid"] // 10, r["qid"] % 10, r["txt"]) for r in rows])
+#: Rows that a tracker's corpus may have: every worker holds it, and each chunk is matched with all of it.
+TRACKER_ROWS = 50_000
 
 
-tracker_rows = 50_000
+def corpus_rows(spark: SparkSession, sf_dir: str) -> Broadcast:
+    """The tracker's corpus, broadcast once to every worker: benchmark passages, of which there is a fixed, small number."""
+    rows = passages(spark, sf_dir).limit(TRACKER_ROWS + 1).collect()
+    if len(rows) > TRACKER_ROWS:
+        raise ValueError("the tracker's corpus is held in memory; give it fewer rows")
+    return spark.sparkContext.broadcast(tracker.Corpus([tracker.Row(r["qid"] // 10, r["qid"] % 10, r["txt"]) for r in rows]))
 
 
 def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir, or under one of our own where that is unset (local tests)."""
+    """A folder of this application under spark.checkpoint.dir; under one of our own where that is unset and the master is local."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/seqloom/{sc.applicationId}"

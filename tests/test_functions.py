@@ -231,3 +231,25 @@ def test_dtw_reads_all_frames(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = QUERIES["dtw_similarity"](spark, str(tmp_path)).collect()
     assert [(r["label"], round(full_dtw(frames[0], frames[1]), 6)) for r in got] == [(0, got[0]["score"])]
+
+
+def test_numbers_of_a_million_wide_rows(spark):
+    from seqloom.operators.corpus import contiguous_chunks, numbered
+
+    rows = spark.range(1_000_000).selectExpr("pmod(id * 7919, 1000003) AS k", "repeat(cast(id AS string), 12) AS wide")
+    got = numbered(rows, "k", "n").agg({"n": "max", "*": "count"}).first()
+    assert got["max(n)"] == 999_999 and got["count(1)"] == 1_000_000
+    assert numbered(rows, "k", "n").select("n").distinct().count() == 1_000_000
+    assert sorted(r["count"] for r in contiguous_chunks(rows, "k", 7).groupBy("chunk").count().collect()) == [142_852] + [142_858] * 6
+
+
+def test_knn_equals_brute_force(frame):
+    from seqloom.operators.vectors import knn
+
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (60, 5)).astype(float)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(None, [1.0] * 5), (70, None), (71, [1.0, None, 1.0, 1.0, 1.0]), (72, [1.0])]
+    index = frame(rows, "vec_id long, v array<double>")
+    got = knn(index.selectExpr("vec_id AS qid", "v AS q"), index, 4).collect()
+    want = {(q, r): (i, s) for q in range(60) for r, (s, i) in enumerate(sorted(((float(v[q] @ v[i]), i) for i in range(60) if i != q), key=lambda x: (-x[0], x[1]))[:4], 1)}
+    assert {(r["qid"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want

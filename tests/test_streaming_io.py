@@ -4,10 +4,13 @@ import json
 import wave
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom.sources import io
-from seqloom.streaming.tracker import Corpus, Row, Tracker, best_path, peel, peel_sessions, track, track_stream
+from seqloom.functions.alignment import indel_ratio
+from seqloom.streaming.tracker import Corpus, Row, State, Tracker, best_path, match_front, peel, peel_sessions, track, track_stream
 
 TEXTS = {(1, 1): "in the name of the kind one", (1, 2): "all praise is for the lord of worlds", (1, 3): "master of the last day", (2, 1): "this is the book without any doubt", (2, 2): "a guide for those who fear"}
 ROWS = [Row(g, s, t) for (g, s), t in TEXTS.items()]
@@ -50,6 +53,81 @@ def test_unsure_chunks_are_held_back(corpus):
     assert t.state.pending is None
 
 
+def test_streaming_mode_needs_two_words_and_a_better_score(corpus):
+    t = Tracker(corpus, streaming=True)
+    assert t.delta("praise") == [] and t.finish() == []
+    t = Tracker(corpus, streaming=True)
+    assert t.delta("all") == [] and refs(t.delta("praise is for the lord of worlds") + t.finish()) == [(1, 2)]
+    text = "a guide xxxxxxx yyyyyyy zzzz"  # between .3 and .4
+    assert Tracker(corpus).find(text)["score"] < 0.4 and Tracker(corpus, streaming=True).find(text) is None
+
+
+def test_tentative_rows_of_forty_percent_are_kept_at_the_end(corpus):
+    t = Tracker(corpus, State(pending={"grp": 1, "seq": 1, "score": 0.42}), streaming=True)
+    assert refs(t.finish_gated()) == [(1, 1)]
+    t = Tracker(corpus, State(pending={"grp": 1, "seq": 1, "score": 0.39}), streaming=True)
+    assert t.finish_gated() == []
+
+
+def test_low_confidence_chunk_is_skipped_and_sure_rows_leave_at_once(corpus):
+    t = Tracker(corpus, streaming=True)
+    assert t.gated("utter noise here", -2.0) == []
+    assert refs(t.gated(TEXTS[1, 1], -0.3) + t.gated(TEXTS[1, 2], -0.3)) == [(1, 1)]
+    assert refs(t.finish_gated()) == [(1, 2)]
+
+
+def test_expected_row_wins_among_equal_texts():
+    refrain = Corpus([Row(55, s, "which of the favours will you deny") for s in (13, 16, 18)] + [Row(55, 12, "grain with husks and scented plants"), Row(55, 17, "lord of the two easts")])
+    t = Tracker(refrain, State(last=[55, 17]))
+    assert refs(t.snapshot("which of the favours will you deny") + t.finish()) == [(55, 18)]
+    assert refs(Tracker(refrain).snapshot("which of the favours will you deny")) == []
+
+
+def test_text_that_outgrows_rows_is_split(corpus):
+    t = Tracker(corpus)
+    assert refs(t.snapshot(" ".join([TEXTS[1, 2], TEXTS[1, 3]])) + t.finish()) == [(1, 2), (1, 3)]
+
+
+def test_a_repeated_row_is_emitted_once(corpus):
+    t = Tracker(corpus, State(last=[1, 3]))
+    assert t.snapshot(TEXTS[1, 3]) == [] and t.finish() == []
+
+
+def brute_find(corpus, text, last=None, least=0.3):
+    best, words = None, text.split()
+    for r in corpus.rows:
+        for form in (r.text, r.no_opening):
+            if not form:
+                continue
+            own = form.split()
+            a = 0.3 if len(words) / len(own) > 0.8 else 0.7
+            score = a * indel_ratio(text, " ".join(own[: len(words)])) + (1 - a) * indel_ratio(text, form) + 0.15 * (last is not None and corpus.next.get(last) == (r.grp, r.seq))
+            if best is None or score > best[0]:
+                best = (score, r.grp, r.seq)
+    return best if best and best[0] >= least else None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 4), st.text("abc d", min_size=1, max_size=12)), min_size=1, max_size=8), st.text("abc d", min_size=1, max_size=12))
+def test_find_leaves_no_row_out(rows, text):
+    c = Corpus([Row(g, s, " ".join(t.split()), " ".join(t.split()[1:]) or None) for (g, s), t in {(g, s): t for g, s, t in rows}.items() if t.split()])
+    text, last = " ".join(text.split()), (1, 1)
+    want = brute_find(c, text, last) if text else None
+    got = Tracker(c, State(last=list(last))).find(text)
+    assert (got and (got["score"], got["grp"], got["seq"])) == want
+
+
+def test_every_word_misspelt_still_matches(corpus):
+    assert refs([Tracker(corpus).find("mastar off tha lazt dayy")]) == [(1, 3)]
+
+
+def test_front_matches_spans_and_hinted_rows(corpus):
+    got = match_front(corpus, f"{TEXTS[1, 1]} {TEXTS[1, 2]} {TEXTS[1, 3]}")
+    assert (got["grp"], got["seq"], got["seq_end"], got["score"]) == (1, 1, 3, 1.0)
+    assert match_front(corpus, TEXTS[2, 1], (1, 3))["score"] == 1.0 and match_front(corpus, "") is None
+    assert corpus.bonuses((1, 1)) == {(1, 2): 0.22, (1, 3): 0.12} and corpus.bonuses((1, 3)) == {(2, 1): 0.22, (2, 2): 0.12}
+
+
 def test_successor_crosses_groups(corpus):
     assert corpus.next[1, 2] == (1, 3) and corpus.next[1, 3] == (2, 1) and corpus.next[2, 2] is None
 
@@ -73,7 +151,7 @@ def test_stream_equals_batch(spark, corpus, tmp_path):
         chunks += [(session, i, p, -0.1, i == len(parts) - 1) for i, p in enumerate(parts)]
     schema = "session long, offset long, txt string, log_prob double, last boolean"
     key = lambda rows: sorted((r["session"], r["pos"], r["grp"], r["seq"], r["score"]) for r in rows)
-    want = key(track(spark.createDataFrame(chunks, schema), corpus).collect())
+    want = key(track(spark.createDataFrame(chunks, schema), spark.sparkContext.broadcast(corpus)).collect())
     assert [(r[0], r[2], r[3]) for r in want] == [(1, 1, 1), (1, 1, 2), (1, 1, 3), (2, 2, 1), (2, 2, 2)]
     source = str(tmp_path / "in")
     for lo, hi in ((0, 2), (2, 5), (5, 99)):
@@ -134,9 +212,9 @@ def test_audio(spark, tmp_path):
     assert io.read_audio(spark, str(tmp_path), io.wav_samples).first()["samples"] == [0.5, -0.5]
 
 
-def test_peel_sessions_reads_as_far_as_the_longest_row(frame):
+def test_peel_sessions_reads_as_far_as_the_longest_row(spark, frame):
     words = [f"word{i}" for i in range(70)]
     heard = [f"{w}x" for w in words[:60]] + words[60:]
     rows = Corpus([Row(1, 1, " ".join(words)), Row(2, 1, "word5x qqqq")])
-    got = peel_sessions(frame([(1, " ".join(heard))], "session long, txt string"), rows).collect()
+    got = peel_sessions(frame([(1, " ".join(heard))], "session long, txt string"), spark.sparkContext.broadcast(rows)).collect()
     assert [(r["grp"], r["seq"]) for r in got] == [(1, 1)]
