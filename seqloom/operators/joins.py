@@ -13,8 +13,8 @@ from seqloom.functions.ngrams import char_ngrams
 from seqloom.functions.similarity import lev_ratio, lev_ratio_at_least
 from seqloom.operators.structure import best_per
 
-#: Rows of a similarity join's corpus side that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows of a similarity join's corpus side that may be broadcast, and that a part of a larger one has about.
+BROADCAST_ROWS, SALT_ROWS = 200_000, 50_000
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -22,10 +22,10 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if a few small files hold it."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many partitions as there are cores (by keys, if given), if a few small files hold it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -52,15 +52,23 @@ def similarity_join(queries: DataFrame, corpus: DataFrame, score: Column, most:
 def lev_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float) -> DataFrame:
     """Pairs with lev_ratio of at least `least`, by length bands: the ratio bounds the difference of lengths.
 
-    Bands of equal width in log length make it an equi-join; each left row looks into the bands its partners can be in.
+    Bands of equal width in log length make it an equi-join; each left row looks into the bands its partners can be in. A
+    right side of checked size is broadcast; a larger one is dealt into parts of SALT_ROWS rows, so that no band of like lengths is one task.
     """
     import math
 
     width = math.log(max((2 - least) / least, 1 + 1e-9))  # of partners' lengths a <= b: b / a <= (2 - least) / least
     band = lambda c: F.floor(F.log(F.length(c) + F.lit(1e-9)) / width).cast("int")
-    probe = left.where(F.length(left_text) > 0).withColumn("_band", F.explode(F.sequence(band(left_text) - 1, band(left_text) + 1)))
+    probe = spread(left).where(F.length(left_text) > 0).withColumn("_band", F.explode(F.sequence(band(left_text) - 1, band(left_text) + 1)))
     build = right.where(F.length(right_text) > 0).withColumn("_rband", band(right_text))
-    pairs = probe.join(build, F.col("_band") == F.col("_rband")).drop("_band", "_rband")
+    n = build.count()
+    if n <= BROADCAST_ROWS:
+        pairs = probe.join(F.broadcast(build), F.col("_band") == F.col("_rband")).drop("_band", "_rband")
+    else:
+        parts = -(-n // SALT_ROWS)
+        build = build.withColumn("_rpart", F.pmod(F.xxhash64(right_text), F.lit(parts)).cast("int"))
+        probe = probe.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = probe.join(build, (F.col("_band") == F.col("_rband")) & (F.col("_part") == F.col("_rpart"))).drop("_band", "_rband", "_part", "_rpart")
     return pairs.withColumn("score", lev_ratio_at_least(F.col(left_text), F.col(right_text), least)).where("score is not null")
 
 

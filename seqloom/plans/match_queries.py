@@ -27,7 +27,7 @@ _PAIRS = f"{ASCII_CORPUS}, pairs AS (SELECT x.grp, x.seq, x.txt AS a, y.txt AS b
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ascii_corpus(spark, sf_dir)
     following = c.select("grp", (F.col("seq") - 1).alias("seq"), F.col("txt").alias("b"))
-    return c.withColumnRenamed("txt", "a").join(following, ["grp", "seq"])
+    return joins.spread(c.withColumnRenamed("txt", "a"), "grp", "seq").join(joins.spread(following, "grp", "seq"), ["grp", "seq"])
 
 
 @query(f"WITH {_PAIRS} SELECT grp, seq, levenshtein(a, b) AS edits, round({_lev('a', 'b')}, 6) AS ratio FROM pairs")
@@ -232,7 +232,7 @@ def groups_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _udf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     following = c.select("grp", (F.col("seq") - 1).alias("seq"), F.col("txt").alias("b"))
-    return c.withColumnRenamed("txt", "a").join(following, ["grp", "seq"])
+    return joins.spread(c.withColumnRenamed("txt", "a"), "grp", "seq").join(joins.spread(following, "grp", "seq"), ["grp", "seq"])
 
 
 @query()
