@@ -40,6 +40,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Rows from which a key is joined by broadcast instead of a shuffle that would bring them all to one task.
+HOT_ROWS = 1_000_000
+
+
+def join_to_classes(rows: DataFrame, classes: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """Inner join of rows with a staged table of their distinct keys, which says how many rows each has.
+
+    Keys of more than HOT_ROWS rows (fewer than one for every HOT_ROWS rows there are) are broadcast, the others shuffled.
+    """
+    hot = classes.where(F.col(count) > HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(classes, key)
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col(count) <= HOT_ROWS), key)
+    return usual.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def lower_ascii(column):
     """Lower-case A-Z alone."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

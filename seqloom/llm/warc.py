@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_batches, staged_path
+from seqloom.llm.common import join_to_classes, small_batches, stage, staged_path
 
 CRLF = "\r\n"
-#: Records in one archive at most; bounds the archive that a reading task holds.
-FILE_RECORDS = 5_000
+#: Records in one archive at most, by the bytes of their payloads: an archive, which a reading task holds whole, has about 160 MB
+#: before compression at most, or one record.
+SIZE_CLASSES = [(32 << 10, 5_000), (1 << 20, 150), (None, 1)]
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,9 +71,23 @@ def record(kind: Column, place: Column, page_id: Column, url: Column, digest: Co
     return F.concat(head, block)
 
 
-def write_archives(lines: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+def present_classes(sizes: DataFrame, size_classes: list[tuple[int | None, int]] = SIZE_CLASSES) -> dict[str, tuple[Column, int]]:
+    """Name, condition on payload_size, and records of an archive, of each size class that a table shows; the first class at least.
+
+    size_classes: (payloads of at most so many bytes, records in an archive), ascending; None: the rest.
+    """
+    least, tests = -1, {}
+    for most, records in size_classes:
+        size = F.col("payload_size")
+        tests[f"over-{least}" if most is None else f"upto-{most}"] = ((size > least) & ((size <= most) if most is not None else F.lit(True)), records)
+        least = most
+    there = sizes.agg(*[F.coalesce(F.bool_or(test), F.lit(False)) for test, _ in tests.values()]).first()
+    return {k: v for (k, v), found in zip(tests.items(), there) if found} or dict([next(iter(tests.items()))])
+
+
+def write_archives(lines: DataFrame, path: str, records: int) -> None:
     """Write a one-column table of records as gzip-compressed archives."""
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
+    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records).text(path)
 
 
 def cut_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -130,7 +145,7 @@ SCHEMA = "place long, page_id long, record_type string, url string, record_id st
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row for each record of the archives under path; digests and sizes are of the blocks as read."""
     small_batches(spark)  # the archives of a batch are of one scan partition, whose bytes Spark bounds
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["payload"] * with_payload
 
     def run(batches):
@@ -164,11 +179,11 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     long_enough = headers.where(F.col("payload_bytes") >= least_bytes).select("place", "page_id", "payload_digest")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id").alias("page"), F.col("place").alias("at"))
-    first = long_enough.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return long_enough.join(first, "payload_digest").where("place <> first.at").select("place", F.col("first.page").alias("refers_to"), F.col("first.at").alias("refers_place"))
+    first = stage(long_enough.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "originals")
+    return join_to_classes(long_enough, first, "payload_digest").where("place <> first.at").select("place", F.col("first.page").alias("refers_to"), F.col("first.at").alias("refers_place"))
 
 
-def archive_and_dedup(pages: DataFrame, least_bytes: int = 0, path: str | None = None, file_records: int = FILE_RECORDS) -> DataFrame:
+def archive_and_dedup(pages: DataFrame, least_bytes: int = 0, path: str | None = None, size_classes: list[tuple[int | None, int]] = SIZE_CLASSES) -> DataFrame:
     """Write a response record for each page, resolve revisits, write deduplicated archives and read them back.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id: sizes and digests
@@ -184,18 +199,26 @@ def archive_and_dedup(pages: DataFrame, least_bytes: int = 0, path: str | None =
     nothing = F.lit(None).cast("long")
     col = F.col
     rows = rows.withColumn("digest", base32_sha1(col("payload")))
-    write_archives(rows.select(record(F.lit("response"), col("place"), col("page_id"), col("url"), col("digest"), col("payload"), nothing, nothing)), f"{base}/all.warc", file_records)
-
-    decisions = resolve(read_archives(spark, f"{base}/all.warc"), least_bytes).withColumnRenamed("place", "at")
-    records = read_archives(spark, f"{base}/all.warc", with_payload=True)
-    decided = records.join(decisions.hint("shuffle_hash"), records["place"] == decisions["at"], "left").select("place", "page_id", "url", "payload_digest", "payload", decisions["refers_to"], "refers_place")
+    rows = rows.withColumn("payload_size", F.octet_length("payload"))
+    classes = present_classes(rows, size_classes)
+    for name, (test, most) in classes.items():
+        line = record(F.lit("response"), col("place"), col("page_id"), col("url"), col("digest"), col("payload"), nothing, nothing)
+        write_archives(rows.where(test).select(line), f"{base}/all.warc/{name}", most)
+
+    headers = stage(read_archives(spark, f"{base}/all.warc"), "headers")
+    decisions = stage(resolve(headers, least_bytes).withColumnRenamed("place", "at"), "decisions")
     kind = F.when(col("refers_place").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    write_archives(decided.select(record(kind, col("place"), col("page_id"), col("url"), col("payload_digest"), col("payload"), col("refers_to"), col("refers_place"))), f"{base}/dedup.warc", file_records)
-
-    found = read_archives(spark, f"{base}/dedup.warc")
-    sizes = found.where("record_type = 'response'").select(col("record_id").alias("original"), col("payload_bytes").alias("full_bytes"), col("payload_digest").alias("full_digest"))
-    key = F.coalesce("refers_to_record", "record_id")
-    return found.join(sizes, key == sizes["original"]).select("page_id", col("full_bytes").alias("payload_bytes"), col("full_digest").alias("payload_digest"), "record_type", "refers_to", "url", "record_id")
+    for name, (_, most) in classes.items():
+        records = read_archives(spark, f"{base}/all.warc/{name}", with_payload=True)
+        decided = records.join(decisions.hint("shuffle_hash"), records["place"] == decisions["at"], "left").select("place", "page_id", "url", "payload_digest", "payload", decisions["refers_to"], "refers_place")
+        line = record(kind, col("place"), col("page_id"), col("url"), col("payload_digest"), col("payload"), col("refers_to"), col("refers_place"))
+        write_archives(decided.select(line), f"{base}/dedup.warc/{name}", most)
+
+    found = read_archives(spark, f"{base}/dedup.warc").withColumn("original", F.coalesce("refers_to_record", "record_id"))
+    found = stage(found, "headers")
+    size = F.max(F.when(col("record_type") == "response", F.struct(col("payload_bytes").alias("full_bytes"), col("payload_digest").alias("full_digest"))))
+    sizes = stage(found.groupBy("original").agg(size.alias("full"), F.count("*").alias("n")).select("original", "n", "full.*"), "sizes")
+    return join_to_classes(found.drop("payload_bytes", "payload_digest"), sizes, "original").select("page_id", col("full_bytes").alias("payload_bytes"), col("full_digest").alias("payload_digest"), "record_type", "refers_to", "url", "record_id")
 
 
 ORACLE = """

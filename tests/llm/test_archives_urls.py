@@ -2,6 +2,10 @@
 
 import base64
 import hashlib
+import math
+import random
+import re
+from collections import Counter
 
 import duckdb
 
@@ -31,7 +35,7 @@ def test_round_trip_with_hostile_payloads(frame):
 
 
 def test_archives_hold_what_was_written(spark, frame, tmp_path):
-    warc.archive_and_dedup(frame([(1, "u", "same", ""), (2, "v", "same", ""), (3, "w", "other", "")], PAGES), path=f"file://{tmp_path}", file_records=2)
+    warc.archive_and_dedup(frame([(1, "u", "same", ""), (2, "v", "same", ""), (3, "w", "other", "")], PAGES), path=f"file://{tmp_path}", size_classes=[(4, 2), (None, 1)])
     full = {r["page_id"]: r for r in warc.read_archives(spark, f"file://{tmp_path}/dedup.warc", with_payload=True).collect()}
     assert full[1]["payload"] == "same" and full[2]["payload"] is None and full[3]["payload"] == "other"
     assert full[2]["record_type"] == "revisit" and full[2]["refers_to_record"] == full[1]["record_id"]
@@ -75,3 +79,50 @@ def test_model_follows_sql_and_separates(spark, sf_dir):
 def test_without_ruled_urls_the_method_allows(frame):
     rows = urlmodel.judge(frame([(1, "http://a.org/", None, None), (None, "http://b.org/", None, None), (1, "http://a.org/", None, None)], PAGES)).collect()
     assert [r["verdict"] for r in rows] == ["allow"] * 3
+
+
+def plain_scores(urls, ruled):
+    """The score of every URL by the definition of the model, character by character."""
+    fold = lambda u: re.sub("[^a-z0./_?=&%#:~+@-]", "*", re.sub("[0-9]", "0", (u or "").translate({c: c + 32 for c in range(65, 91)})))
+    texts, pad, size = [fold(u) for u in urls], "^" * urlmodel.ORDER, len(urlmodel.SYMBOLS) - 1
+    held = [hashlib.md5(t.encode()).hexdigest()[0] in urlmodel.HELD_OUT for t in texts]
+    seen, total = {m: Counter() for m in ("all", "allow", "block")}, sum(map(len, texts))
+    for t, r, h in zip(texts, ruled, held):
+        for m in ["all"] + [r] * (r is not None and not h):
+            for i in range(len(t)):
+                before = (pad + t)[i : i + urlmodel.ORDER]
+                seen[m].update((before[urlmodel.ORDER - k :], t[i]) for k in range(urlmodel.ORDER + 1))
+
+    def table(m):
+        out = {}
+        for (context, c), n in seen[m].items():
+            out.setdefault(context, {})[c] = n
+        return out
+
+    models, every = {m: table(m) for m in seen}, table("all")
+
+    def p(m, context, c):
+        shorter = p(m, context[1:], c) if context else 1 / size
+        if len(context) > 2 and sum(every[context].values()) * urlmodel.SHARE < total:
+            return shorter
+        own = models[m].get(context)
+        return (own.get(c, 0) + len(own) * shorter) / (sum(own.values()) + len(own)) if own else shorter
+
+    def weight(t, i):
+        before = (pad + t)[i : i + urlmodel.ORDER]
+        return round(math.log(p("allow", before, t[i]) / p("block", before, t[i])) * urlmodel.SCALE)
+
+    return [math.floor(sum(weight(t, i) for i in range(len(t))) / max(len(t), 1)) for t in texts]
+
+
+def test_scores_are_the_models_even_for_unseen_characters(frame):
+    rng = random.Random(4)
+    words = ["news", "shop", "blog", "casa", "livre", "img"]
+    urls = [f"http://{rng.choice(words)}{i % 7}.{d}/{rng.choice(words)}/{i}" for i in range(60) for d in ("com", "net/es", "net/fr", "org")]
+    urls += ["http://zzqx.org/~j@k+w", "", None, "http://a.com/" + "x1y/" * 30_000, "ünï://é.org/", "HTTP://UP.ORG/"]
+    rows = urlmodel.judge(frame([(i, u, None, None) for i, u in enumerate(urls)], PAGES)).orderBy("page_id").collect()
+    ruled = [r["verdict"] if r["rule"] else None for r in rows]
+    want = plain_scores(urls, ruled)
+    assert all(abs(r["score"] - w) <= 1 for r, w in zip(rows, want, strict=True))
+    zzqx = next(r for r in rows if r["page_id"] == 240)
+    assert zzqx["rule"] is None and zzqx["score"] != 0
