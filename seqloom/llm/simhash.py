@@ -5,16 +5,19 @@ distinct fingerprint the Hamming distances to reference fingerprints (pivots) ar
 The triangle inequality |d(x, p) - d(y, p)| <= d(x, y) then discards every pair whose table rows differ
 by more than the limit in any coordinate; survivors are verified on the fingerprints.
 
-Pairs meet in cells: two fingerprints at distance 3 or less agree in one of four 16-bit bands, so no
-link is lost. Within a cell rows are sorted by their first pivot distance, so that the inequality
-bounds the window each row looks at. A cell emits a spanning forest of its links, not the links:
-a group of n near copies costs n rows. Bands with more rows than `cell_rows` are dealt out by
-pairs of chunks, so no task holds more than two chunks of one band.
+Pairs meet in cells: cut into b blocks, two fingerprints at distance 3 or less agree in at least b - 3 blocks whole, so no
+link is lost among the cells of all choices of b - 3 blocks. More blocks give longer keys and more copies: four blocks 16 bits
+and 4 copies, five 25 and 10, six 32 and 20. The fewest blocks are taken that leave a cell CELL_ROWS random fingerprints
+or fewer, so cells do not grow with the table, and pairs grow as rows do. Within a cell rows are sorted by their first
+pivot distance, so that the inequality bounds the window each row looks at. A cell emits a spanning forest of
+its links, not the links: a group of n near copies costs n rows. Cells with more rows than `cell_rows` are
+dealt out by pairs of chunks, so no task holds more than two chunks of one cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,11 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checked_broadcast, open_id, small_batches, solid_id, stage
+from seqloom.llm.common import checked_broadcast, join_to_classes, open_id, small_batches, solid_id, stage
 from seqloom.llm.components import components
 
-BANDS = 4
-PIVOTS = 16
+PIVOTS, CELL_ROWS = 16, 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -160,13 +162,39 @@ def cell_links(rows: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fp[linked].view(np.int64), "b": fp[parent[linked]].view(np.int64)})
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3, cell_rows: int = 8192) -> DataFrame:
-    """Edges a, b that connect all distinct fingerprints (column fp) at max_bits (3 or fewer) differing bits."""
-    if max_bits >= BANDS:
-        raise ValueError("four bands hold links of three bits at most")
-    width = 64 // BANDS
-    bands = F.array(*[F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << width)) for i in range(BANDS)])
-    rows = with_pivot_table(fps).withColumn("band", F.explode(bands))
+def block_bounds(blocks: int) -> list[int]:
+    return [round(64 * i / blocks) for i in range(blocks + 1)]
+
+
+def blocks_for(rows: int, max_bits: int) -> int:
+    """The fewest blocks whose keys leave CELL_ROWS random fingerprints in a cell, or fewer."""
+    for blocks in range(max_bits + 1, 2 * max_bits + 4):
+        at = block_bounds(blocks)
+        shortest = sum(sorted(b - a for a, b in zip(at, at[1:]))[: blocks - max_bits])
+        if rows <= CELL_ROWS << shortest:
+            break
+    return blocks
+
+
+def block_keys(fp, blocks: int, max_bits: int) -> list:
+    """For each choice of blocks - max_bits blocks the fingerprint's bits in them, hashed with the number of the choice."""
+    at = block_bounds(blocks)
+    keys = []
+    for n, kept in enumerate(combinations(range(blocks), blocks - max_bits)):
+        mask = sum(((1 << (at[i + 1] - at[i])) - 1) << at[i] for i in kept)
+        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(_signed(mask))), F.lit(n)))
+    return keys
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 3, cell_rows: int = 8192, blocks: int | None = None) -> DataFrame:
+    """Edges a, b that connect all distinct fingerprints (column fp) at max_bits or fewer differing bits.
+
+    Keys that hash alike share a cell, which costs a comparison and changes no link. blocks: by default as the number of rows asks for.
+    """
+    if not 0 <= max_bits < 16:
+        raise ValueError("blocks hold links of fifteen bits at most")
+    blocks = blocks or blocks_for(fps.count(), max_bits)
+    rows = with_pivot_table(fps).withColumn("band", F.explode(F.array(*block_keys(F.col("fp"), blocks, max_bits))))
     rows = deal_cells(rows, "band", "fp", cell_rows)
     order = ["band", "lo", "hi", "d0", "fp"]
     small_batches(fps.sparkSession)
@@ -188,13 +216,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; columns other than the two named are ignored.
     """
     fps = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
     edges = stage(fingerprint_links(classes.select("fp"), max_bits), "links")
     comp = stage(components(edges), "components")
-    named = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    named = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component", "component_id")
-    return fps.join(named, "fp").select("rid", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component")
+    named = stage(named.join(least, "component").select("fp", "n", "component", "component_id"), "named")
+    return join_to_classes(fps, named, "fp").select("rid", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqloom.llm import collide, simhash, vptree
+from seqloom.llm import collide, common, simhash, vptree
 from seqloom.llm.components import components
 
 DOCS = "doc_id long, text string, fp string, rid string"
@@ -76,16 +76,27 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("cell_rows", [3, 8192])
-def test_links_survive_split_cells(spark, cell_rows):
+@pytest.mark.parametrize(("cell_rows", "blocks"), [(3, None), (8192, None), (8192, 4), (5, 5), (8192, 6), (8192, 7)])
+def test_links_survive_split_cells(spark, cell_rows, blocks):
     fps = [simhash.fingerprint(t) for _, t, _, _ in near_copies()]
     distinct = sorted({simhash._signed(f) for f in fps})
-    edges = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in distinct], "fp long"), cell_rows=cell_rows).collect()
+    edges = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in distinct], "fp long"), cell_rows=cell_rows, blocks=blocks).collect()
     at = {f: i for i, f in enumerate(distinct)}
     unsigned = [f % (1 << 64) for f in distinct]
     assert least_labels(len(distinct), [(at[e["a"]], at[e["b"]]) for e in edges]) == components_of(unsigned, list(range(len(distinct))))
 
 
+def test_blocks_grow_with_the_table():
+    assert [simhash.blocks_for(n, 3) for n in (0, 4_000_000, 5_000_000, 10**9, 10**10, 10**11)] == [4, 4, 5, 5, 6, 6]
+
+
+def test_hot_fingerprints_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate("aaaabbc")], "k string, i int")
+    classes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted(tuple(r) for r in common.join_to_classes(rows, classes, "k").collect()) == sorted((k, i, {"a": 4, "b": 2, "c": 1}[k]) for i, k in enumerate("aaaabbc"))
+
+
 def test_near_duplicates_and_survivors(frame, tmp_path, spark):
     rows = near_copies()
     frame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
@@ -151,8 +162,9 @@ def test_calibration_and_recall_at_the_limit():
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * b
     (ca, pa), (cb, pb) = plan.project(a), plan.project(b)
-    assert (ca == cb).any(1).mean() > 0.999
-    assert ((np.abs(pa - pb) <= plan.window).sum(1) >= plan.count).mean() > 0.999
+    assert (ca == cb).all(2).any(1).mean() > 0.999
+    assert (np.abs(pa.astype(int) - pb) <= plan.wide).all(1).mean() > 0.99 and (np.abs(pa.astype(int) - pb)[:, 0] <= plan.wide).mean() > 0.999
+    assert ((np.abs(pa.astype(int) - pb) <= plan.window).sum(1) >= plan.count).mean() > 0.999
 
 
 def test_no_vectors(frame):
