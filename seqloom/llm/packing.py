@@ -25,61 +25,21 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import open_id, small_batches, solid_id, stage
+from seqloom.llm.wordtable import WordTable
 
 CAPACITY = 4096
 END_ID = 1
-#: Bytes of words that one Python worker remembers; characters cut into words at once; bytes encoded in one call.
-CACHE_BYTES, BLOCK_CHARS, CALL_BYTES = 16_000_000, 1_500_000, 100_000
+#: Bytes of words that one Python worker remembers; characters cut into words at once.
+CACHE_BYTES, BLOCK_CHARS = 16_000_000, 1_500_000
 
 Run = tuple[tuple[int, ...], int]
 
 
-class WordTable:
-    """Words and their ids in flat Arrow and numpy arrays, of a bounded size in bytes: beyond it the half used longest ago goes."""
-
-    def __init__(self, most: int):
-        self.most, self.clock = most, 0
-        self.words = pa.array([], pa.binary())
-        self.ids, self.starts, self.used = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def nbytes(self) -> int:
-        return self.words.nbytes + self.ids.nbytes + self.starts.nbytes + self.used.nbytes
-
-    def trim(self) -> None:
-        self.clock += 1
-        if self.nbytes() <= self.most:
-            return
-        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
-        ids, sizes = self.take(keep)
-        self.words, self.ids, self.used = self.words.take(pa.array(keep)), ids, self.used[keep]
-        self.starts = np.append(0, np.cumsum(sizes))
-
-    def find(self, words: pa.BinaryArray) -> np.ndarray:
-        """Places of words in the table; -1 for unknown ones."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False) if len(self.words) else np.full(len(words), -1, np.int32)
-        self.used[at[at >= 0]] = self.clock
-        return at
-
-    def add(self, words: pa.BinaryArray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.words = pa.concat_arrays([self.words, words])
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
-        self.ids = np.append(self.ids, ids)
-        self.used = np.append(self.used, np.full(len(words), self.clock, np.int32))
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words at these places, one after another, and how many each has."""
-        sizes = (self.starts[1:] - self.starts[:-1])[at]
-        where = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
-        where += np.arange(len(where))
-        return self.ids[where], sizes
-
-
 def slices(text, blank, newline, most: int) -> Iterator:
     """A text or bytes in parts of at most `most`, each cut before a blank or newline; a longer word stays whole."""
     at = 0
@@ -128,22 +88,6 @@ class CachedEncoder:
             return self._one_by_one([x.decode("latin-1").encode() for x in items])
         return ids, np.diff(ends, prepend=0)
 
-    def _look_up(self, table: WordTable, words: pa.BinaryArray, encode: Callable) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after another, and how many each has; unknown ones are encoded in calls of a bounded size."""
-        table.trim()
-        at = table.find(words)
-        unknown = at < 0
-        if unknown.any():
-            missing = words.filter(pa.array(unknown))
-            new, known = pc.unique(missing), len(table.words)
-            at = at.copy()
-            at[unknown] = pc.index_in(missing, value_set=new).to_numpy() + known
-            call = np.cumsum(pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64) + 25) // CALL_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(call)) + 1), len(new)]
-            found = [encode(new.slice(a, b - a).to_pylist()) for a, b in zip(cuts, cuts[1:])]
-            table.add(new, *map(np.concatenate, zip(*found)))
-        return table.take(at)
-
     def word_starts(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words start in lower-cased Latin-1 bytes, and which bytes belong to words."""
         kind = self.KIND[raw]
@@ -170,7 +114,7 @@ class CachedEncoder:
         before = np.cumsum(inside, dtype=np.int32)
         offsets = np.append(before[at] - 1, before[-1]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
-        found, sizes = self._look_up(self.words, words, self._all_at_once)
+        found, sizes = self.words.look_up(words, self._all_at_once)
         end = np.cumsum(sizes)
         firsts = np.cumsum([0, *[len(p) + 1 for p in parts]])[1:-1]
         return np.split(found, np.append(0, end)[np.searchsorted(at, firsts)])
@@ -188,7 +132,7 @@ class CachedEncoder:
             if self.OTHER.search(t):
                 for part in slices(t, " ", "\n", BLOCK_CHARS):
                     chunks = [x for x in part.encode("utf-8", "replace").replace(b"\n", b" ").split(b" ") if x]
-                    out[i].append(self._look_up(self.chunks, pa.array(chunks, pa.binary()), self._one_by_one)[0])
+                    out[i].append(self.chunks.look_up(pa.array(chunks, pa.binary()), self._one_by_one)[0])
                 continue
             for part in slices(t.encode("latin-1"), b" ", b"\n", BLOCK_CHARS):
                 held.append((i, part))

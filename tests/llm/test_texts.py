@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 
 import __spark_entry__
 import corpus_pipeline
@@ -147,7 +149,7 @@ def test_pseudonymise_tables(frame):
 
 
 def test_transducer_follows_the_library(spark, sf_dir):
-    machine, library = wfst.Transducer(wfst.default_model(), cache_segments=500), sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
+    machine, library = wfst.Transducer(wfst.default_model(), cache_bytes=40_000, cache_pairs=500), sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
     rng = random.Random(7)
     parts = [*"abcdefghijklmnoprstuvwxyzABÀéßñ's!?.,<0129(){=+-_  \n\t\x85İΣ’日😀ﬁ▁б", "the", "ing", "<s>", "<0x0A>", "   ", "://", "тион"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
@@ -158,10 +160,50 @@ def test_transducer_follows_the_library(spark, sf_dir):
         assert machine.decode(ids) == library.decode(ids.tolist())
 
 
-def test_unigram_weights():
-    machine = object.__new__(wfst.Transducer)
-    machine.bpe, machine.longest, machine.score = False, 3, {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -9.0, "c": -1.0, "bc": -0.2}
-    assert machine.shortest_path("abc") == ["a", "bc"] and machine.shortest_path("ab") == ["ab"] and machine.shortest_path("x") == []
+def unigram_model(path):
+    """A unigram model of the same pieces, with scores from a rule; characters other than these letters fall back to bytes."""
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(wfst.default_model(), "rb").read())
+    model.trainer_spec.model_type = wfst.UNIGRAM
+    kept = []
+    for i, p in enumerate(model.pieces):
+        if p.type == wfst.NORMAL:
+            if len(p.piece) == 1 and p.piece not in "▁abcdefghijklmnoprstuvwxyz.":
+                continue
+            p.score = -(i * 7919 % 65536) / 4096
+        kept.append(p)
+    model.ClearField("pieces")
+    model.pieces.extend(kept)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_unigram_model_follows_the_library(tmp_path):
+    path = unigram_model(tmp_path / "unigram.model")
+    machine, library = wfst.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(8)
+    parts = [*"abcdefghijklmnopqrstuvwxyzABQÀé's!?.,<0129  \n日😀", "the", "ing", "quick", "   ", "тион", "tion"]
+    for text in ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]:
+        ids = machine.encode(text)
+        assert ids.tolist() == library.encode(text)
+        assert machine.decode(ids) == library.decode(ids.tolist())
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    machine, library = wfst.Transducer(wfst.default_model()), sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
+    for n in (63, 64, 65, 500, 4_001):
+        assert machine.encode("a" + " " * n + "b").tolist() == library.encode("a" + " " * n + "b")
+    began = time.time()
+    assert machine.decode(machine.encode(" " * 100_000 + "x")) == " " * 100_000 + "x"
+    assert time.time() - began < 3
+
+
+def test_texts_of_many_blocks_and_batches_agree(monkeypatch):
+    texts = ["the quick  brown\nfox " * n for n in (0, 1, 50, 400)] + [" " * 30 + "x"]
+    want = [x.tolist() for x in wfst.Transducer(wfst.default_model()).encode_all(texts)]
+    monkeypatch.setattr(wfst, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(wfst, "BLOCK_SEGMENTS", 3)
+    assert [x.tolist() for x in wfst.Transducer(wfst.default_model(), cache_bytes=300).encode_all(texts)] == want
 
 
 def test_encode_decode_tables(frame):
