@@ -5,21 +5,26 @@ of unit vectors, which is a metric and orders as the cosine does. A subtree at d
 its vantage point is skipped for a query at distance d when factor * max(d - hi, lo - d) exceeds the query's
 k-th best distance so far. Factor 1 is the triangle inequality: the search is exact. Larger factors skip more.
 
-Queries go to every shard in blocks of bounded size, so a task holds one shard and one block. A block walks the tree
-together: it first descends to each query's own leaf, which gives the first bounds, then visits the rest.
+Each shard's tree is built once and written to the shared folder. A search sends the queries to the trees: sorted by shard, a
+shard's tree comes first and its queries follow in batches of bounded size, so a task holds one tree and one batch,
+however many queries there are. A batch walks the tree together: it first descends to each query's own leaf, which
+gives the first bounds, then visits the rest.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stage
+from seqloom.llm.common import small_batches, stage
 from seqloom.llm.vectors import cosine, matrix, usable
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 4096, 1024, 64
+SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 2048, 64
 #: Room for rounding in distances, which are square roots of differences of nearly equal numbers.
 ROUNDING = 1e-6
 
@@ -31,6 +36,17 @@ class Tree:
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(vectors)))
 
+    def dump(self) -> bytes:
+        """The tree as it is stored: vectors in their own type, unit vectors are made again."""
+        return pickle.dumps((self.vectors, self.ids, self.rids, self.root), protocol=5)
+
+    @staticmethod
+    def load(raw: bytes) -> Tree:
+        tree = object.__new__(Tree)
+        tree.vectors, tree.ids, tree.rids, tree.root = pickle.loads(raw)
+        tree.unit = tree.vectors / np.linalg.norm(tree.vectors, axis=1, keepdims=True)
+        return tree
+
     def _from(self, point: int, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * (self.unit[rows] @ self.unit[point]), 0))
 
@@ -108,6 +124,45 @@ class Tree:
         self.score[own], self.id[own] = score[place], ids[place]
 
 
+def build(rows: DataFrame, shards: int) -> DataFrame:
+    """size, shard, tree of stored rows (rid, vec_id, v, size), dealt into shards: one tree of each shard and vector length."""
+    dealt = rows.select("size", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"), "rid", "vec_id", "v")
+
+    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        data = data.sort_values("rid")
+        tree = Tree(matrix(data["v"]), data["vec_id"].to_numpy(), data["rid"].to_numpy(), int(key[1]))
+        return pd.DataFrame({"size": [key[0]], "shard": [key[1]], "tree": [tree.dump()]})
+
+    return dealt.groupBy("size", "shard").applyInPandas(run, "size int, shard int, tree binary")
+
+
+def search_trees(trees: DataFrame, asks: DataFrame, shards: int, k: int, factor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rid, query_id, vec_id, score of the k nearest rows of every shard to each query (rid, vec_id, v, size)."""
+    sent = asks.select("size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "rid", "vec_id", "v", F.lit(None).cast("binary").alias("tree"))
+    first = trees.select("size", "shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("rid"), F.lit(0).cast("long").alias("vec_id"), F.lit(None).cast(asks.schema["v"].dataType).alias("v"), "tree")
+    small_batches(asks.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, at_home = None, None
+        for b in batches:
+            homes = b[["size", "shard"]].to_numpy()
+            starts = (b["kind"].to_numpy() == 0) | np.append(True, (homes[1:] != homes[:-1]).any(1))[: len(b)]
+            cuts = np.flatnonzero(starts)
+            for a, z in zip(cuts, [*cuts[1:], len(b)]):
+                part = b.iloc[a:z]
+                if part["kind"].iloc[0] == 0:
+                    tree, at_home, part = Tree.load(part["tree"].iloc[0]), homes[a].tolist(), part.iloc[1:]
+                if at_home != homes[a].tolist():  # a shard without rows of this length
+                    continue
+                for at in range(0, len(part), block_rows):
+                    own = part.iloc[at : at + block_rows]
+                    score, ids = tree.search(matrix(own["v"]), own["rid"].to_numpy(), k, factor)
+                    q, place = np.nonzero(score > -np.inf)
+                    yield pd.DataFrame({"rid": own["rid"].to_numpy()[q], "query_id": own["vec_id"].to_numpy()[q], "vec_id": ids[q, place], "score": score[q, place]})
+
+    return first.unionByName(sent).repartition("size", "shard").sortWithinPartitions("size", "shard", "kind", "rid").mapInPandas(run, "rid long, query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k rows with the largest cosine to each row that the condition queries picks.
 
@@ -118,23 +173,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 1.0,
     """
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = stage(rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("size", F.size("v")), "vectors")
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    dealt = lambda n: F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("size", dealt(shards).alias("shard"), every(blocks).alias("block"), "rid", "vec_id", "v")
-    asks = rows.where("asks").select("size", every(shards).alias("shard"), dealt(blocks).alias("block"), "rid", "vec_id", "v")
-    keys = ["size", "shard", "block"]
-
-    def run(key: tuple, data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(data) or not len(asks):
-            return pd.DataFrame({"rid": [], "query_id": [], "vec_id": [], "score": []})
-        data = data.sort_values("rid")
-        tree = Tree(matrix(data["v"]), data["vec_id"].to_numpy(), data["rid"].to_numpy(), int(key[1]))
-        score, ids = tree.search(matrix(asks["v"]), asks["rid"].to_numpy(), k, factor)
-        q, place = np.nonzero(score > -np.inf)
-        return pd.DataFrame({"rid": asks["rid"].to_numpy()[q], "query_id": asks["vec_id"].to_numpy()[q], "vec_id": ids[q, place], "score": score[q, place]})
-
-    found = data.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(run, "rid long, query_id long, vec_id long, score double")
+    shards = max(1, -(-rows.count() // shard_rows))
+    trees = stage(build(rows, shards), "trees")
+    found = search_trees(trees, rows.where("asks").select("rid", "vec_id", "v", "size"), shards, k, factor, block_rows)
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
