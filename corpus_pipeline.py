@@ -1,4 +1,9 @@
-"""Corpus pipeline: quality classifier, SimHash near-duplicates, surrogates for personal data, packing."""
+"""Corpus pipeline: quality classifier, SimHash near-duplicates, surrogates for personal data, packing.
+
+What all stages do with odd tables: every column may be null; null texts count as empty; texts of any length are read
+whole; rows that repeat are rows of their own, with equal or null ids too; an empty table gives an empty result; other columns,
+whatever their names, are kept by all stages but the last, which ignores them.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +15,28 @@ from seqloom.llm.common import read_table, stage
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier, fitted on labels, accepts."""
+    """The documents that the quality classifier, fitted on labels, accepts; all of them where labels do not show both kinds.
+
+    Null sources and languages are sites of their own.
+    """
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents, the one with the smallest doc_id stays."""
+    """Of each group of near-duplicate documents, the one with the smallest doc_id stays; of equal ones the first row.
+
+    A document without an id stays only where its whole group has none. Null texts and texts without words are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced; n_chars follows the new text."""
+    """All documents, personal data replaced; n_chars follows the new text and is null where that is."""
     return pii.pseudonymise(docs, found_col=None).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in the packed sequences."""
+    """The documents' pieces with their places in the packed sequences; an empty document is one piece of one id."""
     return packing.pack(docs)
 
 
