@@ -6,7 +6,9 @@ keys, passwords and tokens, titled person names) are replaced by keyed surrogate
 Values made of letters and digits go through a keyed permutation of all values of the same shape (a Feistel
 network with cycle walking), so distinct values stay distinct, and equal ones stay equal, in every
 document and every run with the same key. Names are drawn from syllables by keyed hash, in the gender
-of their title and the script of the name; a collision check over the distinct entities of the corpus
+of their title and the script of the name. In a text that names somebody in full after a title, later mentions of the full name without one,
+and of the family name alone after the same title's gender, are that person, where no other full name of the text ends so; the family name
+alone gets the end of the full surrogate. A collision check over the distinct entities of the corpus
 moves all but one of those that met to another draw, which has more syllables.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -249,16 +252,46 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((start, m.end(), kind, _canon(kind, value)))
             elif kind == "card" and _valid("phone", value):
                 found.append((start, m.end(), "phone", _canon("phone", value)))
-    for m in NAMES.finditer(text) if any(t in text for t in TITLES) else ():
-        if all(m.end() <= a or m.start() >= b for a, b, _, _ in found):
-            found.append((m.start(3), m.end(3), "name", f"{TITLES[m[1]]}|{m[3]}"))
+    if any(t in text for t in TITLES):
+        found += _names(text, found)
     return sorted(found)
 
 
+def _names(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions of people outside what is taken: after a title, and of their full names without one."""
+    ends = sorted((a, b) for a, b, _, _ in taken)
+    starts = [a for a, _ in ends]
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_left(starts, b)  # entities do not overlap: the last that starts before b is the only one to look at
+        return at == 0 or ends[at - 1][1] <= a
+
+    titled = [(m.start(3), m.end(3), TITLES[m[1]], m[3]) for m in NAMES.finditer(text) if free(m.start(), m.end())]
+    full = {(gender, name) for _, _, gender, name in titled if " " in name}
+    families: dict[tuple[str, str], set[str]] = {}
+    for gender, name in full:
+        families.setdefault((gender, name.rpartition(" ")[2]), set()).add(name)
+    out = []
+    for a, b, gender, name in titled:
+        own = families.get((gender, name), ())
+        out.append((a, b, "name", f"{gender}|{next(iter(own)) if len(own) == 1 else name}"))
+    genders: dict[str, set[str]] = {}
+    for gender, name in full:
+        genders.setdefault(name, set()).add(gender)
+    bare = sorted((n for n, g in genders.items() if len(g) == 1), key=lambda n: (-len(n), n))
+    if bare:
+        ends = sorted([*ends, *[(a, b) for a, b, _, _ in titled]])
+        starts = [a for a, _ in ends]
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, bare))})(?!\w)", text):
+            if free(m.start(), m.end()):
+                out.append((m.start(), m.end(), "name", f"{next(iter(genders[m[0]]))}|{m[0]}"))
+    return out
+
+
 def surrogate(kind: str, canon: str, text: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of text, which is how one mention writes the entity."""
     if kind == "name":
-        return name_surrogate(canon, attempt, key)
+        return " ".join(name_surrogate(canon, attempt, key).split(" ")[-len(text.split(" ")) :])
     if kind == "email":
         return _email(text, key)
     if kind == "ip":
@@ -299,7 +332,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen = {}
             for t in b["text"]:
                 for start, end, kind, canon in find(t or ""):
-                    seen.setdefault((kind, canon), t[start:end])
+                    seen.setdefault((kind, canon), canon.partition("|")[2] if kind == "name" else t[start:end])
             yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["kind", "canon", "text"])
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, canon string, text string").groupBy("kind", "canon").agg(F.min("text").alias("text"))
@@ -314,13 +347,20 @@ def collision_check(found: DataFrame, key: bytes = KEY, most: int = 100_000, rou
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(new=[_normal(k, surrogate(k, c, t, key, a)) for k, c, t, a in zip(b["kind"], b["canon"], b["text"], b["attempt"], strict=True)])
+            out = []
+            for k, c, t, a in zip(b["kind"], b["canon"], b["text"], b["attempt"], strict=True):
+                new = _normal(k, surrogate(k, c, t, key, a))
+                out.append((k, c, t, a, new))
+                if k == "name" and " " in new:  # its end stands for the family name alone
+                    out.append((k, c, None, a, new.rpartition(" ")[2]))
+            yield pd.DataFrame(out, columns=["kind", "canon", "text", "attempt", "new"])
 
     rows = found.select("kind", "canon", "text", F.lit(0).alias("attempt"))
     for _ in range(rounds):
         drawn = stage(rows.mapInPandas(run, "kind string, canon string, text string, attempt int, new string"), "draws")
         first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1")
-        met = stage(drawn.join(first, ["kind", "new"]).where("canon <> first").select("kind", "canon"), "met")
+        met = stage(drawn.join(first, ["kind", "new"]).where("canon <> first").select("kind", "canon").distinct(), "met")
+        drawn = drawn.where("text is not null")
         kinds = sorted(r["kind"] for r in met.select("kind").distinct().collect())
         if set(kinds) - {"name"}:
             raise ValueError(f"surrogates of different entities are equal: {', '.join(kinds)}")
