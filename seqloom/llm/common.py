@@ -40,6 +40,26 @@ def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """docs itself if it is a selection of a table of files, whose rows have the same places in every scan; else a staged copy."""
+    nodes = [docs._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in ("Project", "Filter") and not (node.nodeName() == "LogicalRelation" and docs.inputFiles()):
+            return stage(docs, "stored")
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return docs
+
+
+def without_rows(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """Stored documents without the rows whose place in the scan is in drop (rid)."""
+    own = "_rid"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.withColumn(own, F.monotonically_increasing_id())
+    return rows.join(drop.select(F.col("rid").alias(own)).hint("shuffle_hash"), own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: Rows from which a key is joined by broadcast instead of a shuffle that would bring them all to one task.
 HOT_ROWS = 1_000_000
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checked_broadcast, small_batches, stage
+from seqloom.llm.common import checked_broadcast, small_batches, stage, stored, without_rows
 
 #: Bound on the labelled documents that the classifier is fitted on (smallest hashes of their ids).
 FIT_ROWS = 20_000
@@ -231,7 +231,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshol
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns. docs must be a stored table."""
-    drop = stage(score(docs, labels, **settings).where("not keep").select("rid"), "rejected")
-    rows = docs.withColumn("_seqloom_rid", F.monotonically_increasing_id())
-    return rows.join(drop.hint("shuffle_hash"), rows["_seqloom_rid"] == drop["rid"], "left_anti").drop("_seqloom_rid")
+    """The documents that the classifier accepts, with all their columns; what is not a stored table is stored first."""
+    docs = stored(docs)
+    return without_rows(docs, stage(score(docs, labels, **settings).where("not keep").select("rid"), "rejected"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checked_broadcast, join_to_classes, open_id, small_batches, solid_id, stage
+from seqloom.llm.common import checked_broadcast, join_to_classes, open_id, small_batches, solid_id, stage, stored, without_rows
 from seqloom.llm.components import components
 
 PIVOTS, CELL_ROWS = 16, 64
@@ -228,11 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that repeat another: of each component the row with the smallest id stays.
 
-    Rows are matched by their place in the scan of docs, so docs must be a stored table.
+    All columns stay. Of equal smallest ids the first row of the scan stays; rows without an id stay only where their whole component
+    has none. Rows are matched by their place in the scan of docs; what is not a stored table is stored first.
     """
+    docs = stored(docs)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("rid")).alias("place")
     found = stage(near_duplicates(docs, id_col, text_col).select("rid", "component", place), "found")
     first = stage(found.groupBy("component").agg(F.min("place").alias("first")), "first")  # apart, so that skew handling can split the join
     drop = stage(found.join(first, "component").where("place <> first").select("rid"), "dropped")
-    rows = docs.withColumn("_seqloom_rid", F.monotonically_increasing_id())
-    return rows.join(drop.hint("shuffle_hash"), rows["_seqloom_rid"] == drop["rid"], "left_anti").drop("_seqloom_rid")
+    return without_rows(docs, drop)
