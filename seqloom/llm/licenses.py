@@ -47,7 +47,8 @@ TEMPLATES = [
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
 ]
 
-#: Pairs of these words are in every text; they vote for nothing.
+#: Pairs of two of these words are in every text; in templates they vote for nothing. No passage is lost by it: where SIMILAR of a
+#: template's words stand on one diagonal, whichever others are missing, enough other pairs are left to reach the votes asked for (tested).
 COMMON = frozenset("a and any as by for free in is it of or the this to under use with you may not are that".split())
 
 #: Diagonals this close are one passage; a span is verified if this share of the template's words is found in order.
@@ -73,6 +74,11 @@ def template_grams(phrases=PHRASES, templates=TEMPLATES, k: int = K) -> list[tup
     return out
 
 
+def votes_needed(size: int) -> int:
+    """Votes that a group of diagonals must have before its spans are verified against a template of that size."""
+    return max(1, int(SIMILAR * (size - K + 1)) // 3)
+
+
 def in_order(span: list[int], size: int) -> int:
     """Words of a template of that size found in the span in order (longest common subsequence); span: each word's places in the template, as bits."""
     full = row = (1 << size) - 1
@@ -127,7 +133,7 @@ def verified(hits: list[tuple[int, int, int, int, list[str]]], phrases=PHRASES,
             by.setdefault(t, []).append((diagonal, votes, start, window))
     for t, found in by.items():
         words, label = templates[t - len(phrases)][0].split(" "), templates[t - len(phrases)][1]
-        need = max(1, int(SIMILAR * (len(words) - K + 1)) // 3)
+        need = votes_needed(len(words))
         groups: list[list] = []
         for hit in sorted(found, key=lambda h: h[:3]):
             if groups and hit[0] - groups[-1][-1][0] <= SLACK:
@@ -153,7 +159,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     Null and empty texts have no words; null and repeated ids keep their rows; whole texts are read. Label
     strings are empty where nothing is found, first_word and last_word null, score 0. An empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. A text's hits meet in one row: a window of a template's length for each diagonal
+    of its words that has votes, which for a text of nothing but licence words is some dozen times the text.
     """
     spark = docs.sparkSession
     sizes = [len(t.split(" ")) for t, _ in [*phrases, *templates]]

@@ -1,5 +1,6 @@
 """Licence scans, surrogates, SentencePiece transducer, quality classifier and the pipeline."""
 
+import itertools
 import random
 import re
 import time
@@ -280,3 +281,20 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
 def test_registered():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+def test_common_pairs_lose_no_passage():
+    grams = licenses.template_grams()
+    for t, (text, _) in enumerate(licenses.TEMPLATES, len(licenses.PHRASES)):
+        size = len(text.split(" "))
+        voting, missing = {at for tt, at, *_ in grams if tt == t}, int(size * (1 - licenses.SIMILAR) + 1e-9)
+        worst = min(len(voting - {at for m in lost for at in (m - 1, m)}) for lost in itertools.combinations(range(size), missing))
+        assert worst >= licenses.votes_needed(size)
+
+
+@pytest.mark.parametrize("n", [1, 49, 50, 51, 500])
+def test_repetition_before_a_passage_hides_nothing(frame, n):
+    text = "licensed under " * n + "licensed under CC BY 4.0"
+    grid = frame([(1, text, "", ""), (2, "gnu lesser " * n + "general public license", "", "")], DOCS)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(grid).collect()}
+    assert got == {1: ("cc-by", 1.0), 2: ("gpl,lgpl", 1.0)}
