@@ -129,6 +129,19 @@ class Trie:
                     self.ends.append([])
             level = after
 
+    def tokens_after(self, ids: Sequence[int]) -> list[int]:
+        """The tokens that may follow a prefix, in order; none for an unknown prefix."""
+        node = self.walk(ids)
+        return [] if node is None else sorted(self.children[node])
+
+    def ends_below(self, ids: Sequence[int], most: int | None = None) -> list:
+        """The sequences that start with a prefix, shortest first."""
+        found, level = [], [self.walk(ids)]
+        while level and level[0] is not None and (most is None or len(found) < most):
+            found += [name for node in level for name in self.ends[node]]
+            level = [child for node in level for _, child in sorted(self.children[node].items())]
+        return found[:most]
+
     def walk(self, ids: Sequence[int]) -> int | None:
         node = 0
         for i in ids:
@@ -167,6 +180,48 @@ def repeated_run(tokens: Column, times: int = 3) -> Column:
     return (F.size(tokens) >= times) & F.exists(places, lambda i: F.size(F.array_distinct(F.slice(tokens, i, times))) == 1)
 
 
+def cut_at_repeat(tokens: Column, times: int = 3) -> Column:
+    """The tokens before one that stands for the `times`-th time in succession; all of them where none does, or where they are few."""
+    n = F.size(tokens)
+    places = F.when(n >= times, F.sequence(F.lit(times), F.greatest(n, F.lit(times)))).otherwise(F.array().cast("array<int>"))
+    third = F.filter(places, lambda i: F.size(F.array_distinct(F.slice(tokens, i - times + 1, times))) == 1)
+    return F.when((n > times) & (F.size(third) > 0), F.slice(tokens, F.lit(1), F.get(third, F.lit(0)) - 1)).otherwise(tokens)
+
+
+def rank_with_span_penalty(candidates: DataFrame, text_weight: float = 0.0, penalty: float = 0.5) -> DataFrame:
+    """utt, cand, final, rank of candidates (utt, cand, loss, length, frames, first, last, prior): the negative loss a token, plus the
+    weighted text score, less the penalty for each row of a span after the first. Candidates whose tokens cannot be aligned with
+    the frames (2 length + 1 > frames), and empty ones, are left out."""
+    able = candidates.where((F.col("length") > 0) & (2 * F.col("length") + 1 <= F.col("frames")) & (F.col("loss") < float("inf")))
+    final = -(F.col("loss") / F.col("length")) + text_weight * F.col("prior") - penalty * (F.col("last") - F.col("first"))
+    rows = able.select("utt", "cand", F.round(final, 6).alias("final"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("utt").orderBy(F.desc("final"), "cand")))
+
+
+def trie_sequences(rows: DataFrame, longest: int, boundary: str) -> DataFrame:
+    """grp, seq, n_rows, tokens of the rows (grp, seq, tokens), and of every run of up to `longest` consecutive rows of a group.
+
+    A boundary token stands between rows. A run with a row that has no tokens is left out.
+    """
+    ahead = Window.partitionBy("grp").orderBy("seq").rowsBetween(0, longest - 1)
+    runs = rows.select("grp", "seq", F.collect_list("tokens").over(ahead).alias("run"))
+    each = runs.select("grp", "seq", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n_rows")).withColumn("run", F.slice("run", F.lit(1), F.col("n_rows")))
+    joined = F.aggregate(F.slice("run", 2, longest), F.get("run", F.lit(0)), lambda have, more: F.concat(have, F.array(F.lit(boundary)), more))
+    return each.where(F.forall("run", lambda r: F.size(r) > 0)).select("grp", "seq", "n_rows", joined.alias("tokens"))
+
+
+def trie_edges(sequences: DataFrame, column: str = "tokens") -> DataFrame:
+    """depth, parent, token, node: the edges of the prefix tree of token sequences.
+
+    A node is named by a 128-bit hash chained over its tokens, so a sequence gives one row a token and no prefix is copied.
+    """
+    link = lambda h, token: F.md5(F.concat(h, F.lit(" "), token.cast("string")).cast("binary"))
+    step = lambda have, token: F.concat(have, F.array(link(F.element_at(have, -1), token)))
+    chain = F.aggregate(F.col(column), F.array(F.md5(F.lit("").cast("binary"))), step)
+    rows = sequences.select(F.explode(F.arrays_zip(F.slice(chain, F.lit(1), F.size(column)).alias("parent"), F.col(column).alias("token"), F.slice(chain, 2, 1 << 30).alias("node"), F.sequence(F.lit(1), F.greatest(F.size(column), F.lit(1))).alias("depth"))).alias("e"))
+    return rows.select("e.depth", "e.parent", "e.token", "e.node").where("token is not null").distinct()
+
+
 def drop_overlaps(words: DataFrame, key: str, slack: float = 0.15) -> DataFrame:
     """Timed words (key, start, end) that begin no earlier than slack before the latest end so far."""
     before = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))

@@ -61,6 +61,32 @@ def run_taxonomy(expected: Column, predicted: Column) -> Column:
     )
 
 
+def discovery_taxonomy(expected: Column, found: Column, group) -> Column:
+    """exact, no_emit, missing_only, partial_multi, wrong_initial, extra_before, wrong_group_jump, extra_after or other, tested in this
+    order; group gives an item's group."""
+    strange = lambda items: F.filter(items, lambda x: ~F.array_contains(expected, x))
+    at = F.filter(F.transform(expected, lambda x: F.array_position(found, x).cast("int")), lambda i: i > 0)
+    first, last = F.coalesce(F.array_min(at), F.lit(0)), F.coalesce(F.array_max(at), F.lit(0))
+    missing = F.size(F.filter(expected, lambda x: ~F.array_contains(found, x)))
+    before = strange(F.slice(found, F.lit(1), F.greatest(first - 1, F.lit(0))))
+    after = strange(F.slice(found, last + 1, F.greatest(F.size(found), F.lit(1))))
+    groups = F.transform(expected, group)
+    jump = F.exists(after, lambda x: ~F.array_contains(groups, group(x)))
+    return (
+        F.when(expected == found, "exact").when(F.size(found) == 0, "no_emit").when((F.size(strange(found)) == 0) & (missing > 0), "missing_only")
+        .when((missing > 0) & (F.size(expected) > 1), "partial_multi").when(~F.array_contains(expected, F.get(found, F.lit(0))), "wrong_initial").when(F.size(before) > 0, "extra_before")
+        .when(F.size(after) > 0, F.when(jump, "wrong_group_jump").otherwise("extra_after")).otherwise("other")
+    )
+
+
+def summarise_runs(runs: DataFrame) -> DataFrame:
+    """category, median_pct, median_correct, min_correct of runs (run, category, correct, total): shares in per cent, halves rounded up."""
+    totals = runs.groupBy("run").agg(F.sum("correct").alias("c")).agg(F.percentile("c", 0.5).alias("median_correct"), F.min("c").alias("min_correct"))
+    share = F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0))
+    each = runs.groupBy("category").agg((F.floor(F.percentile(share, 0.5) * 1000 + 0.5) / 10).alias("median_pct"))
+    return each.join(F.broadcast(totals), F.lit(True))  # one row
+
+
 def false_jumps(history: DataFrame, key: str, order: str, near: int = 3) -> DataFrame:
     """Per key how often the shown item (grp, seq) changed to one that is neither expected nor near the one before."""
     w = Window.partitionBy(key).orderBy(order)

@@ -106,7 +106,7 @@ def best_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = text.words(F.col("txt"))
     asked = passages(spark, sf_dir).select("qid", F.array("txt", F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), " ")).alias("hypotheses"))
     c = corpus(spark, sf_dir)
-    return retrieval.best_hypothesis(asked, lambda q: joins.gram_candidates(q, c, ["grp", "seq"], 1).drop("rank")).select("qid", "pos", "grp", "seq", "score")
+    return retrieval.best_hypothesis(asked, lambda q: retrieval.match_rows(q, c)).select("qid", "pos", "grp", "seq", "seq_end", "score")
 
 
 @query()

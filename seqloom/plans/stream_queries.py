@@ -75,11 +75,18 @@ def acoustic_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trie_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beam search over each label's frames within a trie of the labels' own greedy sequences."""
+    """Beam search over each label's frames within the prefix tree of passages' first words and spans, a letter a token.
+
+    Words, and runs of up to three of a passage's first words with a boundary between them, are few: a passage gives six.
+    """
     import numpy as np
     import pandas as pd
 
-    trie = decode.Trie({(i, j): [(i * 5 + k * (j + 1)) % 62 for k in range(4)] for i in range(10) for j in range(8)})
+    first = F.slice(text.words(F.col("txt")), 1, 3)
+    letters = F.transform(F.filter(F.split(F.col("w.word"), ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(61)))
+    rows = passages(spark, sf_dir).select("qid", F.posexplode(first).alias("seq", "word")).select(F.col("qid").alias("grp"), "seq", F.struct("word").alias("w")).select("grp", "seq", letters.alias("tokens"))
+    found = decode.trie_sequences(rows, 3, 61).collect()
+    trie = decode.Trie({(r["grp"], r["seq"], r["n_rows"]): r["tokens"] for r in found})
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         f = np.stack(rows.sort_values("t")["embedding"]).astype(float)

@@ -42,8 +42,8 @@ def read_nested_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = TRAINING) -> DataFrame:
-    """One object a line; blank lines are skipped, broken ones too."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """One object a line; blank lines are skipped, a broken one is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
