@@ -41,7 +41,7 @@ UNIGRAM, BPE = 1, 2
 #: Fixed value: what an unknown character weighs more than the worst piece of a unigram model.
 PENALTY = 10.0
 #: Bytes of segments that a worker remembers, pairs of pieces, and segments looked up at once.
-CACHE_BYTES, CACHE_PAIRS, BLOCK_SEGMENTS, BLOCK_CHARS = 16_000_000, 150_000, 200_000, 1_000_000
+CACHE_BYTES, CACHE_PAIRS, BLOCK_SEGMENTS, BLOCK_CHARS = 40_000_000, 150_000, 500_000, 1_000_000
 
 
 def default_model() -> str:
