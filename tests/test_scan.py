@@ -44,3 +44,7 @@ def test_best_rows_equal_all_pairs(spark, frame, sf_dir):
         want += [(qid, k + 1, g, s, None if x > 0 else -x) for k, (x, g, s) in enumerate(best)]
     assert sorted(got) == want
     assert no_pairs(QUERIES["search_topk"](spark, sf_dir))
+
+
+def test_two_stage_scan_joins_no_pairs(spark, sf_dir):
+    assert no_pairs(QUERIES["two_stage_gate"](spark, sf_dir))
