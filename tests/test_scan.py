@@ -6,7 +6,7 @@ import pytest
 
 from seqloom.functions import alignment as al
 from seqloom.functions.packed import Packed
-from seqloom.operators import joins
+from seqloom.operators import joins, retrieval, scan
 from seqloom.plans.catalog import QUERIES
 
 
@@ -48,3 +48,25 @@ def test_best_rows_equal_all_pairs(spark, frame, sf_dir):
 
 def test_two_stage_scan_joins_no_pairs(spark, sf_dir):
     assert no_pairs(QUERIES["two_stage_gate"](spark, sf_dir))
+
+
+def retrieved_both_ways(frame, monkeypatch, **options):
+    """Rows of the scan, and of the join of all pairs that more queries than a block's go through."""
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(["the", "a", "run", "stone", "é", "wind", "of", "rivers"]) for _ in range(n))
+    rows = [(g, s, say(r.choice([1, 3, 8, 14]))) for g in range(7) for s in range(1, 6)] + [(20 + i, 1, "the wind of rivers run") for i in range(6)]
+    rows += [(30, 1, None), (30, 2, ""), (31, 1, "  the \t wind  of"), (31, 2, " stone a")]
+    asked = [(i, say(r.choice([1, 2, 5, 9]))) for i in range(14)] + [(50, "the wind of rivers run"), (51, None), (52, ""), (53, " wind  of rivers and stones "), (54, "ru")]
+    out = []
+    for most in (2_000, 0):
+        monkeypatch.setattr(scan, "BLOCK_QUERIES", most)
+        hint = frame([(2, 1)], "grp long, seq long")
+        found = retrieval.retrieve(frame(asked, "qid long, txt string"), frame(rows, "grp long, seq int, txt string"), hint=hint, longest=3, **options)
+        out.append(sorted(tuple(x) for x in found.collect()))
+    return out
+
+
+@pytest.mark.parametrize("limit, groups", [(4, 2), (1, 5)])
+def test_rows_and_spans_equal_all_pairs(frame, monkeypatch, limit, groups):
+    got, want = retrieved_both_ways(frame, monkeypatch, single_limit=limit, groups=groups, span_limit=6, fragments=False)
+    assert got == want and len({x[0] for x in got}) == 19
