@@ -70,3 +70,10 @@ def retrieved_both_ways(frame, monkeypatch, **options):
 def test_rows_and_spans_equal_all_pairs(frame, monkeypatch, limit, groups):
     got, want = retrieved_both_ways(frame, monkeypatch, single_limit=limit, groups=groups, span_limit=6, fragments=False)
     assert got == want and len({x[0] for x in got}) == 19
+
+
+def test_match_single_or_span_comes_from_the_scan(spark, sf_dir, monkeypatch):
+    calls, scanned = [], scan.scan
+    monkeypatch.setattr(scan, "scan", lambda *a, **b: calls.append(b) or scanned(*a, **b))
+    rows = QUERIES["match_single_or_span"](spark, sf_dir).collect()
+    assert len(calls) == 1 and calls[0]["start"] and len({r["qid"] for r in rows}) == len(rows)
