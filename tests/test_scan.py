@@ -77,3 +77,9 @@ def test_match_single_or_span_comes_from_the_scan(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(scan, "scan", lambda *a, **b: calls.append(b) or scanned(*a, **b))
     rows = QUERIES["match_single_or_span"](spark, sf_dir).collect()
     assert len(calls) == 1 and calls[0]["start"] and len({r["qid"] for r in rows}) == len(rows)
+
+
+def test_rows_and_spans_by_indel_ratio_equal_all_pairs(frame, monkeypatch):
+    for limit, groups in ((4, 2), (1, 5)):
+        got, want = retrieved_both_ways(frame, monkeypatch, single_limit=limit, groups=groups, span_limit=6, fragments=False, indel=True)
+        assert got == want
