@@ -83,3 +83,9 @@ def test_rows_and_spans_by_indel_ratio_equal_all_pairs(frame, monkeypatch):
     for limit, groups in ((4, 2), (1, 5)):
         got, want = retrieved_both_ways(frame, monkeypatch, single_limit=limit, groups=groups, span_limit=6, fragments=False, indel=True)
         assert got == want
+
+
+def test_rows_and_spans_with_fragments_equal_all_pairs(frame, monkeypatch):
+    for limit, groups in ((4, 2), (1, 5)):
+        got, want = retrieved_both_ways(frame, monkeypatch, single_limit=limit, groups=groups, span_limit=6, fragments=True)
+        assert got == want
