@@ -89,3 +89,17 @@ def test_rows_and_spans_with_fragments_equal_all_pairs(frame, monkeypatch):
     for limit, groups in ((4, 2), (1, 5)):
         got, want = retrieved_both_ways(frame, monkeypatch, single_limit=limit, groups=groups, span_limit=6, fragments=True)
         assert got == want
+
+
+def test_opening_boost_reads_a_text_once(frame):
+    from pyspark.sql import functions as F
+    from seqloom.functions import similarity
+
+    texts = ["the wind of rivers", "", None, "a", "  ab  cd efghijklmnopqrstuvwxyz"]
+    pairs = frame([(q, t) for q in ("the", "", "ab cd efghij", "abcdefghij", "x", None) for t in texts], "q string, t string")
+    start, first = similarity.opening(F.col("t"))
+    cut = pairs.select("q", "t", start.alias("start"), first.alias("first"))
+    for q, t, got in cut.select("q", "t", similarity.opening_boost(F.col("q"), F.col("start"), F.col("first"))).collect():
+        bare, own = (t or "").replace(" ", ""), (q or "").replace(" ", "")
+        ends = [al.lev_ratio(own, bare[: len(own) + 6]), *[al.lev_ratio(own, w) for w in (t or "").split()[:1]]]
+        assert got == pytest.approx(max(ends) if q is not None and bare and len(own) <= 10 else 0.0, abs=1e-12)
