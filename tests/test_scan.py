@@ -103,3 +103,16 @@ def test_opening_boost_reads_a_text_once(frame):
         bare, own = (t or "").replace(" ", ""), (q or "").replace(" ", "")
         ends = [al.lev_ratio(own, bare[: len(own) + 6]), *[al.lev_ratio(own, w) for w in (t or "").split()[:1]]]
         assert got == pytest.approx(max(ends) if q is not None and bare and len(own) <= 10 else 0.0, abs=1e-12)
+
+
+def test_voted_matches_equal_all_pairs(frame, monkeypatch):
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice(["the", "run", "stone", "é", "wind"]) for _ in range(n))
+    rows = [(g, s, say(r.choice([2, 5, 9]))) for g in range(9) for s in range(1, 5)] + [(20, 1, None), (20, 2, "")]
+    asked, out = [(i, say(r.choice([2, 6, 12]))) for i in range(12)] + [(50, ""), (51, None)], []
+    calls, scanned = [], scan.scan
+    monkeypatch.setattr(scan, "scan", lambda *a, **b: calls.append(b) or scanned(*a, **b))
+    for most in (2_000, 0):
+        monkeypatch.setattr(scan, "BLOCK_QUERIES", most)
+        out.append(sorted(map(tuple, retrieval.match_voted(frame(asked, "qid long, txt string"), frame(rows, "grp long, seq long, txt string"), gram=2).collect())))
+    assert out[0] == out[1] and len(out[0]) == 12 and len(calls) == 1
