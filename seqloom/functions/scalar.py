@@ -51,12 +51,20 @@ def feasible(target_length: Column, time_steps: Column) -> Column:
 
 
 def l2_normalize(vector: Column, floor: float = 0.0) -> Column:
-    """Unit vector; zero vectors stay zero (or are divided by floor)."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    """Unit vector; zero vectors stay zero (or are divided by floor). Null elements stay null and do not count."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x, F.lit(0.0))))
     norm = F.greatest(norm, F.lit(floor)) if floor else F.when(norm > 0, norm).otherwise(F.lit(1.0))
     return F.transform(vector, lambda x: x / norm)
 
 
+def round_scaled(x: Column, places: int) -> Column:
+    """x scaled, rounded (halves away from zero) and scaled back, as DuckDB rounds: what comes to zero keeps its sign."""
+    scaled = F.abs(x) * 10.0**places
+    whole = F.floor(scaled).cast("double")
+    r = (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**places
+    return F.when((x == 0) | F.isnan(x) | (F.abs(x) == INF), x).when(x < 0, -r).otherwise(r)
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -116,3 +116,16 @@ def test_voted_matches_equal_all_pairs(frame, monkeypatch):
         monkeypatch.setattr(scan, "BLOCK_QUERIES", most)
         out.append(sorted(map(tuple, retrieval.match_voted(frame(asked, "qid long, txt string"), frame(rows, "grp long, seq long, txt string"), gram=2).collect())))
     assert out[0] == out[1] and len(out[0]) == 12 and len(calls) == 1
+
+
+def test_unit_vectors_equal_sql_to_the_sign(frame, spark, tmp_path):
+    import duckdb
+    from seqloom.plans.catalog import ORACLES
+
+    inf, nan = float("inf"), float("nan")
+    rows = [[-1e-9, 1.0], [1e-9, -1.0], [0.0, 0.0], [3.0, None, 4.0], None, [], [nan, 1.0], [inf, 1.0], [None, None], [-0.3, 0.4, 0.2]]
+    frame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {i: repr(u) for i, u in con.sql(ORACLES["l2_normalize"]).fetchall()}
+    assert {r["vec_id"]: repr(r["unit"] if r["unit"] is None else list(r["unit"])) for r in QUERIES["l2_normalize"](spark, str(tmp_path)).collect()} == want
