@@ -129,3 +129,45 @@ def test_unit_vectors_equal_sql_to_the_sign(frame, spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = {i: repr(u) for i, u in con.sql(ORACLES["l2_normalize"]).fetchall()}
     assert {r["vec_id"]: repr(r["unit"] if r["unit"] is None else list(r["unit"])) for r in QUERIES["l2_normalize"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packed_side_by_side(seed):
+    r = random.Random(seed)
+    patterns, text = [some_text(r, 70) for _ in range(r.randint(1, 9))], some_text(r, 90)
+    p, stops = Packed.joined([Packed([q]) for q in patterns]), [0, len(text) // 2, len(text)]
+    for at, column in zip(stops, p.edits(text, stops)):
+        assert p.kept(column, False).tolist() == [len(q) + at - al.edit_distance(q, text[:at]) for q in patterns]
+    for at, row in zip(stops, p.anywhere_by(text, stops)):
+        assert row.tolist() == [al.semi_global_distance(q, text[:at]) for q in patterns]
+
+
+@pytest.mark.parametrize("most, least", [(6, 2), (3, 30)])
+def test_overlaps_equal_joins(frame, monkeypatch, most, least):
+    r = random.Random(9)
+    rows = [(g, s, some_text(r, 40)) for g in range(9) for s in range(7)] + [(20 + i, 0, "ab ca") for i in range(8)] + [(40, 0, None), (41, 0, "")]
+    asked, out = [(i, some_text(r, 30)) for i in range(12)] + [(50, "ab ca"), (51, None), (52, "")], []
+    monkeypatch.setattr(scan, "SLAB", 5)
+    for cells in (8_000_000, 0):
+        monkeypatch.setattr(scan, "GRAM_CELLS", cells)
+        found = retrieval.overlap_shortlist(frame(asked, "qid long, txt string"), frame(rows, "grp long, seq int, txt string"), most, least)
+        out.append(sorted(map(tuple, found.collect())))
+    assert out[0] == out[1] and {x[0] for x in out[0]} == {q for q, _ in asked}
+
+
+def test_joint_match_equals_all_pairs(frame, monkeypatch):
+    r = random.Random(11)
+    words = ["the", "run", "stone", "é", "wind", "rivers", "of", "mountain", "bright", "under"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(g, s, say(r.choice([4, 9, 16]))) for g in range(12) for s in range(1, 6)] + [(20, 1, None), (20, 2, ""), (20, 3, say(6)), (21, 1, say(3))]
+    texts = {(g, s): t for g, s, t in rows}
+    bent = lambda t: " ".join(w if r.random() < 0.7 else r.choice(words) for w in t.split())
+    asked = [(i, say(r.choice([1, 5, 12, 30]))) for i in range(10)] + [(20 + g, bent(f"{texts[g, 1]} {texts[g, 2]}")) for g in range(8)]
+    asked += [(30 + g, bent(f"{texts[g, 2]} {texts[g, 3]}")) for g in range(8)] + [(40 + g, bent(f"{texts[g, 1]} {texts[g, 2]}"[5:])) for g in range(8)] + [(50, ""), (51, None), (52, "the wind")]
+    out, calls, nested = [], [], scan.nested
+    monkeypatch.setattr(scan, "nested", lambda *a, **b: calls.append(1) or nested(*a, **b))
+    for most in (2_000, 0):
+        monkeypatch.setattr(scan, "BLOCK_QUERIES", most)
+        found = retrieval.joint_match(frame(asked, "qid long, txt string"), frame(rows, "grp long, seq long, txt string"), groups=4, longest=4, shortlist=20)
+        out.append(sorted(map(tuple, found.collect())))
+    assert out[0] == out[1] and len(calls) == 1 and len({x[1] for x in out[0]}) >= 2
