@@ -171,3 +171,25 @@ def test_joint_match_equals_all_pairs(frame, monkeypatch):
         found = retrieval.joint_match(frame(asked, "qid long, txt string"), frame(rows, "grp long, seq long, txt string"), groups=4, longest=4, shortlist=20)
         out.append(sorted(map(tuple, found.collect())))
     assert out[0] == out[1] and len(calls) == 1 and len({x[1] for x in out[0]}) >= 2
+
+
+def test_first_words_are_counted_once_a_text(frame, monkeypatch):
+    """However many words the queries have: fields are taken at their stops, and counted together."""
+    r, calls, counts = random.Random(4), [], Packed.counts
+    monkeypatch.setattr(Packed, "counts", lambda self, bits: calls.append(1) or counts(self, bits))
+    asked = [(i, " ".join(r.choice(["the", "run", "stone", "é"]) for _ in range(i + 1))) for i in range(30)]
+    run = []
+    monkeypatch.setattr(scan, "spread", lambda df: type("Rows", (), {"mapInArrow": lambda self, f, schema: run.append(f)})())
+    scan.scan(asked, "long", frame([(1, 1, "")], "grp long, seq long, txt string"), 3, start=True)
+    import pyarrow as pa
+
+    text = " ".join(["the", "stone", "wind"] * 6)
+    out = [b.to_pylist() for b in run[0](iter([pa.RecordBatch.from_pylist([{"grp": 1, "seq": 1, "txt": text}])]))][0]
+    assert len(calls) <= 4
+    for row in out:
+        q = asked[row["qid"]][1].split()
+        n = min(len(q), 18)
+        want = max(al.lev_ratio(" ".join(q), text), al.lev_ratio(" ".join(q[:n]), " ".join(text.split()[:n])))
+        if len("".join(q)) > 10:
+            assert row["raw"] == pytest.approx(want, abs=1e-12)
+    assert len(out) == 30
