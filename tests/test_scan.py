@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqloom.functions import alignment as al
+from seqloom.functions import packed
 from seqloom.functions.packed import Packed
 from seqloom.operators import joins, retrieval, scan
 from seqloom.plans.catalog import QUERIES
@@ -193,3 +196,38 @@ def test_first_words_are_counted_once_a_text(frame, monkeypatch):
         if len("".join(q)) > 10:
             assert row["raw"] == pytest.approx(want, abs=1e-12)
     assert len(out) == 30
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lanes_equal_plain_distances(seed, monkeypatch):
+    r = random.Random(seed)
+    some = lambda longest: "".join(r.choice("ab cé😀") for _ in range(r.choice([0, 1, 63, 64, 65, longest])))
+    monkeypatch.setattr(packed, "LANES", r.choice([1, 4, 8_192]))
+    monkeypatch.setattr(packed, "STEPS", r.choice([1, 300, 2_000_000]))
+    patterns, texts = [some(150) for _ in range(9)], [some(90) + r.choice(["", "ж"]) for _ in range(7)]
+    asks = np.array([[r.random() < 0.7 for _ in patterns] for _ in texts])
+    want = np.array([[al.semi_global_distance(q, t) for q in patterns] for t in texts])
+    assert (packed.Lanes(patterns).anywhere(texts, asks) == want)[asks].all()
+    assert (packed.Lanes(patterns).anywhere(texts, asks | True) == want).all()
+
+
+def scanned(frame, monkeypatch, asked, rows, *options, **more):
+    """What one task returns for rows that come in this order."""
+    run = []
+    monkeypatch.setattr(scan, "spread", lambda df: type("Rows", (), {"mapInArrow": lambda self, f, schema: run.append(f)})())
+    scan.scan(asked, "long", frame([(1, 1, "")], "grp long, seq long, txt string"), *options, **more)
+    return [x for b in run[0](iter([pa.RecordBatch.from_pylist([dict(zip(("grp", "seq", "txt"), x)) for x in rows])])) for x in b.to_pylist()]
+
+
+@pytest.mark.parametrize("cells, held", [(16_000_000, 1_024), (16_000_000, 2), (0, 2)])
+def test_ratio_under_the_floor_counts_beside_the_fragment_score(frame, monkeypatch, cells, held):
+    """The third row's ratio cannot reach the score of the first two; raised toward its fragment score it is the best."""
+    monkeypatch.setattr(scan, "LANE_CELLS", cells)
+    monkeypatch.setattr(scan, "HELD", held)
+    query = "the wind of rivers runs under stone"
+    rows = [(1, 1, query[:18] + "zzzzzzzzzzzzzzz"), (1, 2, query[:18] + "yyyyyyyyyyyyyyy"), (2, 1, "q q q q q q q " + query + " kkk jjj xxx qqq kkk jjj xxx qqq"), (3, 1, None), (4, 1, "zz")]
+    found = {(x["grp"], x["seq"]): x for x in scanned(frame, monkeypatch, [(7, query)], rows, 2, 1, start=True, fragment=0.7)}
+    text = rows[2][2]
+    first = " ".join(text.split()[: len(query.split())])
+    assert al.lev_ratio(query, text) > al.lev_ratio(query, first)
+    assert found[2, 1]["raw"] == pytest.approx(al.lev_ratio(query, text), abs=1e-12) and found[2, 1]["frag"] == 1
