@@ -231,3 +231,12 @@ def test_ratio_under_the_floor_counts_beside_the_fragment_score(frame, monkeypat
     first = " ".join(text.split()[: len(query.split())])
     assert al.lev_ratio(query, text) > al.lev_ratio(query, first)
     assert found[2, 1]["raw"] == pytest.approx(al.lev_ratio(query, text), abs=1e-12) and found[2, 1]["frag"] == 1
+
+
+def test_scans_leave_no_core_idle(frame, spark):
+    """One partition more than cores would take two rounds."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = frame([(i, 1, "the wind") for i in range(40)], "grp long, seq int, txt string")
+    for parts, want in ((cores + 1, cores), (2 * cores, 2 * cores), (1, cores)):
+        found = scan.scan([(1, "the wind")], "long", rows.repartition(parts), 2, indel=True)
+        assert found.rdd.getNumPartitions() == want
